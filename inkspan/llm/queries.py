@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.environ.get("INKSPAN_TOKENIZER") or public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
