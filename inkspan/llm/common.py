@@ -7,7 +7,6 @@ replaces a regular expression for each text.
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 text that one vectorised step handles at a time; numpy holds about 40 times as much.
 STEP = 2 << 20
+#: Removes the shuffle files of an execution when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,22 +47,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here, lost executors cost nothing
-    that lies before it. Shuffle files of the finished stages are released."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends here, and lost executors cost nothing
+    that lies before it. Shuffle files of the write go with it."""
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    release(spark)
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts(df: DataFrame, per: int = 48 << 20) -> int:
     """Partitions for a shuffle of df's rows: the session's setting, or more where the plan's size asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
