@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, NOT_SPACE, cut, pack, small_batches, span_hashes, steps, unpack, word_spans
 from .substring import NO_ID, batches, by_id
 
-ORDER = 4
+ORDER = 5
 #: Bits of a symbol: a byte, or the border.
 BITS = 9
 BORDER = 256
