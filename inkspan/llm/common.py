@@ -61,6 +61,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """df, to be broadcast if its files are known to hold at most limit bytes; else as it is, and joins shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
 def parts(df: DataFrame, per: int = 48 << 20) -> int:
     """Partitions for a shuffle of df's rows: the session's setting, or more where the plan's size asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

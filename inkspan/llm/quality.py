@@ -23,7 +23,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, cut
+from .common import SPACE_WORDS, cut, small
 
 SYMBOLS = "#*$%&|<>"
 #: Variables and their tolerances.
@@ -124,14 +124,14 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     p = len(names)
     centre = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5).alias(f"m_{x}") for x in names])
     centre = cut(centre, "centres")
-    spread = rows.join(centre, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"s_{x}") for x in names])
+    spread = rows.join(small(centre), "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"s_{x}") for x in names])
     now = centre.join(spread, "grp")
     now = now.withColumns({f"c_{i}_{j}": F.pow(F.col(f"s_{x}") * 1.4826, 2) + TOLERANCE[x] ** 2 if i == j else F.lit(0.0) for i, x in enumerate(names) for j in range(i, p)})
     now = cut(_factor(now, names), "estimates")
     for _ in range(steps):
-        far = rows.join(now, "grp").withColumn("d2", _distance(names)).select("grp", "d2", *names)
+        far = rows.join(small(now), "grp").withColumn("d2", _distance(names)).select("grp", "d2", *names)
         limit = far.groupBy("grp").agg(F.percentile_approx("d2", KEPT).alias("limit"))
-        near = far.join(limit, "grp").filter("d2 <= limit")
+        near = far.join(small(cut(limit, "limits")), "grp").filter("d2 <= limit")
         sums = near.groupBy("grp").agg(*[F.avg(x).alias(f"m_{x}") for x in names], *[F.covar_pop(a, b).alias(f"v_{a}_{b}") for a, b in combinations_with_replacement(names, 2)])
         sums = sums.withColumns({f"c_{i}_{j}": F.col(f"v_{names[i]}_{names[j]}") * CONSISTENT + (TOLERANCE[names[i]] ** 2 if i == j else 0.0) for i in range(p) for j in range(i, p)})
         now = cut(_factor(sums, names), "estimates")
@@ -144,10 +144,10 @@ def judge(docs: DataFrame) -> DataFrame:
     sizes = rows.filter("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") >= SMALL
     name = F.struct("lang", F.when(own, F.col("source")).alias("source"), own.alias("own"))
-    sizes = sizes.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.to_json(name).alias("grp"))
-    rows = rows.join(sizes, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_lang", "of_source")
+    sizes = cut(sizes.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.to_json(name).alias("grp")), "groups")
+    rows = rows.join(small(sizes), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_lang", "of_source")
     found = estimates(rows.filter("not base_failed").select("grp", *TOLERANCE))
-    rows = rows.join(found, "grp", "left").withColumn("distance2", _distance(list(TOLERANCE)))
+    rows = rows.join(small(found), "grp", "left").withColumn("distance2", _distance(list(TOLERANCE)))
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(False)))
 
 
