@@ -7,9 +7,10 @@ bin look at the same places). Bands of bins name buckets. Documents with equal s
 
 In a bucket each member is joined to the centre, the smallest doc_id there, so a bucket of n gives n - 1 candidates.
 Candidates are confirmed on the full sets. A star can miss a link between two members that both differ from the
-centre, so buckets are worked off in rounds: while a bucket has members in different components, the centre leaves
-it, and the next member not yet joined to all becomes its centre against the members of other components. A link
-inside a component changes nothing, so it is never asked for. The rounds end when no bucket is left; there is no cap.
+centre. So a bucket that still has members of different components, its centre set aside, is looked through once more:
+its members' full sets meet, in blocks of bounded size, and links across components are found by products of 0/1
+matrices of the shared shingles. A link inside a component changes nothing and is never asked for; only links leave
+this step, never candidate pairs. There is no cap.
 
 Components are found by alternating large-star and small-star steps on tables, with partial sums before each shuffle.
 
@@ -31,6 +32,8 @@ from .common import LOWER, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, m
 
 BINS = 96
 BAND = 4
+#: Members of a bucket that are compared in one group; two such blocks make the largest.
+BLOCK = 1024
 NO_ID = (1 << 63) - 1
 
 
@@ -145,6 +148,52 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left_set", "right_set").mapInArrow(check, "a long, b long")
 
 
+def _across(left: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """left: bucket, node, component, n (members of the bucket). Returns a, b: links between members of different
+    components, confirmed on full sets. A bucket of more than `block` members is dealt into blocks, and each pair of
+    blocks is a group of its own, so no task sees more than two blocks."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+
+    def match(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"a": [], "b": []}
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        comp, node, own = (table[c].to_numpy() for c in ("component", "node", "own"))
+        names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return pa.table(out, schema)
+        odd = np.flatnonzero(at != np.argmax(n))  # a pair across components has at least one of these
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        size = np.array([len(x) for x in raw])
+        doc = np.repeat(np.arange(len(raw)), size)
+        _, word, df = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        shared = df[word] > 1
+        doc, word = doc[shared], word[shared]
+        _, word = np.unique(word, return_inverse=True)
+        order = np.argsort(word, kind="stable")
+        doc, word = doc[order], word[order]
+        common = np.zeros((len(odd), len(raw)), np.float32)
+        width = 4096
+        for lo in range(0, int(word[-1]) + 1 if len(word) else 0, width):
+            a, b = np.searchsorted(word, [lo, lo + width])
+            x = np.zeros((len(raw), width), np.float32)
+            x[doc[a:b], word[a:b] - lo] = 1
+            common += x[odd] @ x.T
+        common = common.astype(np.int64)
+        like = 100 * common >= percent * (size[odd][:, None] + size[None, :] - common)
+        like &= comp[odd][:, None] != comp[None, :]
+        if table["i"][0].as_py() != table["j"][0].as_py():  # each pair within one block has its own group
+            like &= own[odd][:, None] != own[None, :]
+        r, c = np.nonzero(like)
+        x, y = node[odd[r]], node[c]
+        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema)
+
+    return rows.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(match, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Returns node, component (the least node reached) for nodes with an edge."""
     e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "edges")
@@ -186,20 +235,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = cut(full_sets(rows, crowd.select("node").distinct(), shingle), "sets")
     links = cut(confirm(pairs, sets, percent), "links")
     comp = cut(components(links), "components")
-    left = crowd.filter("node > centre").select("bucket", "node")
-    while True:
-        # buckets whose members, but for the centres so far, lie in different components
-        left = left.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre"), F.min_by("component", "node").alias("centre_component")).filter("lo < hi")
-        left = cut(left.join(mixed.select("bucket", "centre", "centre_component"), "bucket"), "buckets")
-        if left.isEmpty():
-            break
-        pairs = left.filter("node > centre and component <> centre_component").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        more = cut(confirm(pairs, sets, percent), "links")
-        left = left.filter("node > centre").select("bucket", "node")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = cut(components(links), "components")
+    # what stars can miss: members of a bucket that lie in different components though the centre is set aside
+    left = crowd.filter("node > centre").select("bucket", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
+    left = cut(left.join(mixed, "bucket"), "mixed")
+    more = cut(_across(left, sets, percent), "links")
+    if not more.isEmpty():
+        comp = cut(components(links.unionByName(more)), "components")
     every = member.join(comp, "node", "left").select("doc_id", "set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     every = every.groupBy("doc_id", "set_a", "set_b", "n_shingles").agg(F.min("component_id").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "set_a", "set_b").join(every, ["doc_id", "set_a", "set_b", "n_shingles"], "left")
