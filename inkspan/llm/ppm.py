@@ -40,6 +40,10 @@ BITS = 9
 BORDER = 256
 SYMBOLS = 257
 FOLDS, HELD_OUT = 5, 1
+#: Bytes of text in a step: each has a gram of eight bytes and a few temporaries of that size.
+STEP = 1 << 20
+#: Compressed bytes of input for each batch.
+BATCH = 4 << 20
 END = np.uint64(0x7FFFFFFFFFFFFFF1)  # stands for the end token among word hashes
 
 
@@ -80,7 +84,7 @@ def _counted(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 def _of_batch(table: pa.Table, order: int):
     ids = table["doc_id"].to_numpy()
     out = held_out(ids)
-    for row, data, off in steps(table["text"]):
+    for row, data, off in steps(table["text"], STEP):
         low = LOWER[data]
         g, gb = grams(low, off, order)
         w, wb = tokens(low, off)
@@ -97,10 +101,15 @@ def collect(rows: DataFrame, order: int, bins: int) -> tuple[DataFrame, DataFram
         gs, ws = [], []
         for _, g, gb, w, wb, out in _of_batch(by_id(table), order):
             for mine, all_, bounds in ((gs, g, gb), (ws, w, wb)):
-                keys, which = np.unique(all_, return_inverse=True)
-                mine.append((keys, np.bincount(which, np.repeat(~out, np.diff(bounds)), len(keys))))
+                held = np.repeat(out, np.diff(bounds))
+                mine.append(np.unique(all_[~held], return_counts=True))
+                other = np.unique(all_[held])
+                mine.append((other, np.zeros(len(other), np.int64)))
+                if len(mine) > 8:  # so that a batch's distinct keys are held about once
+                    mine[:] = [_counted(mine)]
         g, gn = _counted(gs)
         w, wn = _counted(ws)
+        del gs, ws
         where = (w % np.uint64(bins)).astype(np.int64)
         o = np.argsort(where, kind="stable")
         w, wn, where = w[o], wn[o], where[o]
@@ -187,7 +196,7 @@ def word_totals(counts: DataFrame) -> tuple[DataFrame, int, int]:
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     small_batches(docs.sparkSession)
-    rows, n = batches(docs)
+    rows, n = batches(docs, BATCH)
     counts = collect(rows, order, 3 * n)
     mine = unpacked(counts)
     totals = cut(mine.groupBy("gram").agg(F.sum("n").alias("n")), "totals")
