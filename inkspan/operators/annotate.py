@@ -65,13 +65,30 @@ def added(spans: Column, more: Column, whole: bool = False) -> Column:
     return F.array_sort(F.concat(spans, free))
 
 
+def places_of(text: Column, name: str) -> Column:
+    """Where the name starts, overlapping places too."""
+
+    def here(i: Column) -> Column:
+        return F.substring(text, i + 1, F.lit(len(name))) == name
+
+    return F.when(F.contains(text, F.lit(name)), F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - len(name), F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
+
+
+def _outside(starts: Column, n: int):
+    """A test: the span is no part of a longer name of n characters at these places."""
+
+    def test(x: Column) -> Column:
+        return ~F.exists(starts, lambda i: (i < x["e"]) & (x["s"] < i + n) & ((x["e"] - x["s"]) < n))
+
+    return test
+
+
 def place_spans(text: Column, owner: dict[str, str], person_spans: Column, off: tuple[str, ...] = (), blocked: tuple[str, ...] = (), longer: tuple[str, ...] = (), peerage: str = "王公侯", posthumous: str = "文武成康昭穆") -> Column:
     """Places, without those that are switched off, that a longer known name cuts short, that stand in a
     blocked name, or that overlap a person, unless that person is a place, a posthumous character and a rank."""
     spans = F.filter(spans_in(text, owner), lambda x: ~x["surface"].isin(*off) if off else F.lit(True))
     for name in longer + blocked:
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - len(name), F.lit(0))), lambda i, name=name: F.substring(text, i + 1, F.lit(len(name))) == name)
-        spans = F.filter(spans, lambda x, starts=starts, n=len(name): ~F.exists(starts, lambda i: (i < x["e"]) & (x["s"] < i + n) & ((x["e"] - x["s"]) < n)))
+        spans = F.filter(spans, _outside(places_of(text, name), len(name)))
     exempt = lambda x, y: (y["s"] == x["s"]) & (F.length(y["surface"]) == 3) & F.substring(y["surface"], 2, 1).isin(*posthumous) & F.substring(y["surface"], 3, 1).isin(*peerage)
     return F.filter(spans, lambda x: ~F.exists(person_spans, lambda y: overlaps(x, y) & ~exempt(x, y)))
 
@@ -194,7 +211,7 @@ def resolve_titles(sents: DataFrame, owner: dict[str, str], titles: list[Title],
     by_alias = {t.alias: t for t in titles}
     plain = spans_in(F.col("text"), owner)
     open_ = F.filter(spans_in(F.col("text"), {t.alias: t.alias for t in titles}, "open"), lambda x: ~F.exists(F.col("plain"), lambda y: y["s"] == x["s"]))
-    rows = sents.withColumn("plain", plain).withColumn("open", open_).select("chapter", "book", "para_seq", "seq", "uid", "text", "plain", "open")
+    rows = sents.withColumn("plain", plain).withColumn("open", open_).select("chapter", "book", "para_seq", "seq", "uid", F.when(F.size("open") > 0, F.col("text")).alias("text"), F.transform("plain", lambda x: x["id"]).alias("plain"), "open")
     # a chapter without titles needs no grouped work
     busy = rows.filter(F.size("open") > 0).select("chapter").distinct()
 
@@ -202,7 +219,7 @@ def resolve_titles(sents: DataFrame, owner: dict[str, str], titles: list[Title],
         pdf = pdf.sort_values(["para_seq", "seq"])
         sure, spots, at = [], [], []
         for r in pdf.itertuples():
-            sure += [(r.para_seq, r.seq, x["id"]) for x in r.plain]
+            sure += [(r.para_seq, r.seq, who) for who in r.plain]
             for x in r.open:
                 spots.append((r.para_seq, r.seq, by_alias[x["surface"]], Evidence(book=r.book, text=r.text, span=(x["s"], x["e"]))))
                 at.append((r.uid, x["s"], x["e"], x["surface"]))

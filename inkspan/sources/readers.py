@@ -72,7 +72,7 @@ def corpus(spark: SparkSession, path: str, books: DataFrame) -> DataFrame:
 def sheet(spark: SparkSession, path: str, schema: str, lists: tuple[str, ...] = ()) -> DataFrame:
     """Active rows of a CSV with header; pipe lists become arrays. schema must have status."""
     rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=False).filter(F.lower(F.trim("status")) == "active")
-    return rows.withColumns({c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")) for c in lists})
+    return rows.withColumns({c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")) for c in lists})
 
 
 def merged_points(main: DataFrame, fallback: DataFrame) -> DataFrame:

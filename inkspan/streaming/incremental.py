@@ -16,7 +16,7 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and their values by type in tumbling windows; rows later than the watermark are left out."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "v")
 
 
