@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import least_hashes
 from .quality import let
 
 SAMPLE = 4000
@@ -138,7 +139,7 @@ def overlaps(x: Column, spans: Column) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[boosting.Model, float]:
     """docs: doc_id, text. The trees and their threshold."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # short rows only
+    ids = least_hashes(docs.select("doc_id"), "doc_id", sample)  # short rows only
     some = docs.join(ids, "doc_id", "left_semi")
     base = base_spans(F.col("text"))
     rows = some.withColumn("base", F.concat(*base.values())).withColumn("tried", F.concat(*[find(F.col("text"), k, PATTERNS[k], NEEDS[k]) for k in KINDS]))

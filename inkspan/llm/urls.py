@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import least_hashes
 
 #: verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -89,7 +90,7 @@ def train(labelled: DataFrame, limit: int = TRAIN) -> tuple[boosting.Model, dict
     """labelled: a parsed() table with label (1.0: block). Returns the trees and the suffixes' rates."""
     names = [c for c in labelled.columns if c.startswith("f_")]
     kinds = [c for c in labelled.columns if c.startswith("s_")]
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(limit).select("label", *names, *kinds).collect()
+    rows = least_hashes(labelled.select("url", "label", *names, *kinds), "url", limit).collect()
     y = np.array([r["label"] for r in rows], float)
     x = np.array([[r[c] for c in names] for r in rows], float).reshape(len(rows), len(names))
     prior = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
