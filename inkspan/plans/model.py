@@ -35,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input may be one row group, which one task reads; its rows are dealt out to all cores. A large one has
+    row groups enough and is not moved."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * (32 << 20) else df
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """chapter, book, lang, para_seq (from 1), text."""
     return docs.select(F.col("doc_id").alias("chapter"), F.col("source").alias("book"), "lang", F.posexplode(F.split("text", "\n", -1)).alias("p", "text")).select("chapter", "book", "lang", (F.col("p") + 1).alias("para_seq"), "text")
@@ -49,7 +57,7 @@ def split_sentences(paras: DataFrame, pattern: str = SENTENCE) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(paragraphs(table(spark, sf_dir, "documents")))
+    return split_sentences(paragraphs(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))))
 
 
 def persons(spark: SparkSession) -> DataFrame:
