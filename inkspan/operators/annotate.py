@@ -212,8 +212,8 @@ def resolve_titles(sents: DataFrame, owner: dict[str, str], titles: list[Title],
     plain = spans_in(F.col("text"), owner)
     open_ = F.filter(spans_in(F.col("text"), {t.alias: t.alias for t in titles}, "open"), lambda x: ~F.exists(F.col("plain"), lambda y: y["s"] == x["s"]))
     rows = sents.withColumn("plain", plain).withColumn("open", open_).select("chapter", "book", "para_seq", "seq", "uid", F.when(F.size("open") > 0, F.col("text")).alias("text"), F.transform("plain", lambda x: x["id"]).alias("plain"), "open")
-    # a chapter without titles needs no grouped work
-    busy = rows.filter(F.size("open") > 0).select("chapter").distinct()
+    # a chapter without titles needs no grouped work; asked of the text, as a filter on spans would find them again
+    busy = sents.filter(F.col("text").rlike(alternation(list(by_alias)))).select("chapter").distinct()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["para_seq", "seq"])
