@@ -7,6 +7,7 @@ replaces a regular expression for each text.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -96,6 +97,16 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def tidy() -> None:
+    """Gives memory that a group's arrays have left behind back to the machine: Python workers live on between tasks,
+    and what they hold on to is missing elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---- bytes of an Arrow column -----------------------------------------------------------------------------------
 
 

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, cut, pack, small_batches, span_hashes, steps, unpack, word_spans
+from .common import LOWER, NOT_SPACE, cut, pack, small_batches, span_hashes, steps, tidy, unpack, word_spans
 from .substring import NO_ID, batches, by_id
 
 ORDER = 5
@@ -41,7 +41,7 @@ BORDER = 256
 SYMBOLS = 257
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text in a step: each has a gram of eight bytes and a few temporaries of that size.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Compressed bytes of input for each batch.
 BATCH = 4 << 20
 END = np.uint64(0x7FFFFFFFFFFFFFF1)  # stands for the end token among word hashes
@@ -120,6 +120,8 @@ def collect(rows: DataFrame, order: int, bins: int) -> tuple[DataFrame, DataFram
             out["bin"].append(int(where[a]))
             out["keys"].append(pack(w[a:b]))
             out["counts"].append(pack(wn[a:b].astype(np.int32)))
+        del g, gn, w, wn, where, o
+        tidy()
         return pa.table(out, pa.schema([("batch", pa.int64()), ("bin", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return cut(rows.groupBy("batch").applyInArrow(send, "batch long, bin int, keys binary, counts binary"), "counts")
@@ -130,10 +132,12 @@ def unpacked(counts: DataFrame) -> DataFrame:
 
     def rows(it):
         for batch in it:
-            for me, k, c in zip(*(batch.column(x).to_pylist() for x in ("batch", "keys", "counts"))):
+            for r in range(batch.num_rows):
+                me, k, c = (batch.column(x)[r].as_py() for x in ("batch", "keys", "counts"))
                 k, c = unpack(k, np.int64), unpack(c, np.int64)
-                for a in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[a : a + 100_000]), me)), pa.array(k[a : a + 100_000]), pa.array(c[a : a + 100_000])], ["batch", "gram", "n"])
+                for a in range(0, len(k), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[a : a + 20_000]), me)), pa.array(k[a : a + 20_000]), pa.array(c[a : a + 20_000])], ["batch", "gram", "n"])
+            tidy()
 
     # few long rows: dealt out, so that they are taken apart in parallel
     grams_ = counts.filter("bin is null").select("batch", "keys", "counts")
@@ -185,6 +189,8 @@ def word_totals(counts: DataFrame) -> tuple[DataFrame, int, int]:
         out = {"batch": table["batch"].to_pylist(), "keys": table["keys"].to_pylist(), "counts": [pack(n[which[e - len(k) : e]]) for k, e in zip(keys, ends)], "mass": [None] * len(keys), "kinds": [None] * len(keys)}
         for name, x in (("batch", None), ("keys", None), ("counts", None), ("mass", int(n.sum())), ("kinds", int((n > 0).sum()))):
             out[name].append(x)
+        del keys, every, distinct, which, n
+        tidy()
         return pa.table(out, pa.schema([("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("mass", pa.int64()), ("kinds", pa.int64())]))
 
     words = counts.filter("bin is not null").groupBy("bin").applyInArrow(add, "batch long, keys binary, counts binary, mass long, kinds long")
@@ -228,6 +234,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             known = np.add.reduceat((c > 0).astype(np.int64), wb[:-1])
             value = np.add.reduceat(logp[np.searchsorted(g_all, g)], gb[:-1])
             out.append(pa.table([pa.array(my, mask=my == NO_ID), pa.array(held), pa.array(np.diff(wb)), pa.array(known), pa.array(np.full(len(my), mass)), pa.array(base), pa.array(value), pa.array(np.diff(gb) - 1)], NAMES))
+        tidy()
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in TYPES], NAMES)
 
     return rows.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
