@@ -34,3 +34,11 @@ def test_genealogy_takes_all_customers(spark, tmp_path):
     d = landed(spark, tmp_path, customer=(rows, "c_custkey long, c_nationkey int"))
     got = {r["a"] for r in catalogue.queries()["genealogy_cycles"](spark, d).collect()}
     assert got == on_cycles({(n, k % 25) for k, n in rows}) == {1, 2, 3, 5}
+
+
+def test_khop_takes_all_lineitems(spark, tmp_path):
+    rows = [(1, 10, 2, 5.0), (1, 10, 1, 50.0), (2, 10, 3, 46.0), (2, 11, 7, 1.0), (3, 11, 1, 2.0), (3, 12, 1, 50.0), (4, 13, 1, 50.0)]
+    d = landed(spark, tmp_path, lineitem=(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double"))
+    got = {r["node"]: r["degree"] for r in catalogue.queries()["graph_khop"](spark, d).collect()}
+    both = {e for s, p, *_ in rows for e in ((s, -p), (-p, s))}
+    assert got == {n: k for n, k in (reached(both, 1) | {1: 0}).items() if k <= 3} == {1: 0, -10: 1, 2: 2, -11: 3}
