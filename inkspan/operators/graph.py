@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,14 +60,20 @@ def with_evidence(relations: DataFrame, evidence: DataFrame, sents: DataFrame, c
     return r.withColumn("confidence", F.when(F.col("evidence_uid").isNotNull() & (F.col("state") != "active"), F.least("confidence", F.lit(cap))).otherwise(F.col("confidence"))).drop("now", "st", "alive")
 
 
-def cyclic(edges: DataFrame, hops: int = 8) -> DataFrame:
-    """Nodes that reach themselves over at most `hops` directed edges."""
-    step = edges.select("a", "b").distinct()
-    path, back = step, step.filter("a = b").select("a")
-    for _ in range(hops - 1):
-        path = path.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        back = back.unionByName(path.filter("a = b").select("a"))
-    return back.distinct()
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves over directed edges, by paths of any length. Each round joins the pairs (a, b) so
+    far with themselves, which doubles the length they cover, until no new pair appears; a pair is kept for each node
+    and each one it reaches. Rounds are checkpointed, so the plan does not grow with them."""
+    sc = edges.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkspan-"))
+    reach = edges.select("a", "b").distinct().checkpoint()
+    n, before = reach.count(), -1
+    while n != before:
+        longer = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        reach = reach.unionByName(longer).distinct().checkpoint()
+        n, before = reach.count(), n
+    return reach.filter("a = b").select("a")
 
 
 def conflicts(edges: DataFrame) -> DataFrame:

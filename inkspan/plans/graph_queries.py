@@ -74,7 +74,7 @@ def evidence_state(spark, d):
 def genealogy_cycles(spark, d):
     """D22."""
     e = m.table(spark, d, "customer").select(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 25).cast("int").alias("b"))
-    return graph.cyclic(e, 8)
+    return graph.cyclic(e)
 
 
 @query("WITH r AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b, c_mktsegment AS rel FROM customer) SELECT DISTINCT r.a, r.b, r.rel FROM r JOIN r q ON q.a = r.b AND q.b = r.a AND q.rel = r.rel WHERE r.a < r.b")

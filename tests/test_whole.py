@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+from inkspan.operators import graph
 from inkspan.plans import catalogue
 
 
@@ -42,3 +43,12 @@ def test_khop_takes_all_lineitems(spark, tmp_path):
     got = {r["node"]: r["degree"] for r in catalogue.queries()["graph_khop"](spark, d).collect()}
     both = {e for s, p, *_ in rows for e in ((s, -p), (-p, s))}
     assert got == {n: k for n, k in (reached(both, 1) | {1: 0}).items() if k <= 3} == {1: 0, -10: 1, 2: 2, -11: 3}
+
+
+def test_cycles_of_any_length(spark):
+    ring = {(k, (k + 1) % 20) for k in range(20)} | {(k, 100 + (k - 99) % 9) for k in range(100, 109)}
+    edges = ring | {(5, 50), (50, 51), (51, 52), (60, 0), (70, 70)}
+    df = spark.createDataFrame(sorted(edges) * 2, "a long, b long")
+    got = [r["a"] for r in graph.cyclic(df).collect()]
+    assert sorted(got) == sorted(on_cycles(edges)) == [*range(20), 70, *range(100, 109)]
+    assert graph.cyclic(df.limit(0)).count() == 0
