@@ -31,7 +31,7 @@ REL = "r AS (SELECT l_suppkey AS a, l_partkey AS b, CASE WHEN l_linenumber = 1 T
 
 
 def rels(spark, d):
-    li = m.table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    li = m.table(spark, d, "lineitem")
     source = F.when(F.col("l_returnflag") == "A", "manual").when(F.col("l_returnflag") == "N", "ai").otherwise("other")
     return li.groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_linenumber") == 1, "friend").otherwise("rival").alias("rel")).agg(F.max(source).alias("source"))
 
@@ -39,7 +39,7 @@ def rels(spark, d):
 @query("WITH " + REL + ", ev AS (SELECT l_suppkey AS a, l_partkey AS b, CASE WHEN l_linenumber = 1 THEN 'friend' ELSE 'rival' END AS rel, l_orderkey AS ord, l_orderkey::VARCHAR AS uid FROM lineitem WHERE l_linenumber <= 2 AND l_linestatus <> 'O'), f AS (SELECT a, b, rel, arg_min(uid, ord) AS evidence_uid FROM ev GROUP BY 1, 2, 3) SELECT r.a, r.b, r.rel, r.source, f.evidence_uid, substr(md5(r.a || '|' || r.b || '|' || r.rel), 1, 12) AS rel_id, (r.rel = 'friend')::INT AS symmetric, CASE WHEN f.evidence_uid IS NULL THEN 0.4 ELSE CASE r.source WHEN 'manual' THEN 1.0 WHEN 'ai' THEN 0.8 ELSE 0.4 END END::DOUBLE AS confidence FROM r LEFT JOIN f USING (a, b, rel)")
 def relations_apply(spark, d):
     """D15, U6."""
-    li = m.table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    li = m.table(spark, d, "lineitem")
     ev = li.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_linenumber") == 1, "friend").otherwise("rival").alias("rel"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").cast("string").alias("uid"), F.when(F.col("l_linestatus") == "O", "reject").otherwise("accept").alias("verdict"))
     return graph.relations(rels(spark, d), ev, ("friend",)).select("a", "b", "rel", "source", "evidence_uid", "rel_id", "symmetric", "confidence")
 
@@ -64,7 +64,7 @@ def relations_check(spark, d):
 def evidence_state(spark, d):
     """D18, P13."""
     o = m.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), F.col("o_orderstatus").alias("text"), F.when(F.col("o_orderstatus") == "F", "dead").otherwise("active").alias("status"))
-    ev = m.table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("rel_id"), F.col("l_orderkey").cast("string").alias("uid")).distinct()
+    ev = m.table(spark, d, "lineitem").select(F.col("l_partkey").alias("rel_id"), F.col("l_orderkey").cast("string").alias("uid")).distinct()
     k = F.col("p_partkey")
     r = m.table(spark, d, "part").select(k.alias("rel_id"), F.when(k % 5 != 0, (k * 7).cast("string")).alias("evidence_uid"), F.lit("O").alias("evidence_text"), F.lit(0.8).alias("confidence"))
     return graph.with_evidence(r, ev, o).select("rel_id", "evidence_count", "state", "stale", "confidence")

@@ -188,8 +188,7 @@ def quote_depth(spark, d):
 def lineage_neighbours(spark, d):
     """W9."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    t = m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_partkey").over(w).alias("before"), F.lead("l_partkey").over(w).alias("after"))
-    return t.filter("l_linenumber = 2")
+    return m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_partkey").over(w).alias("before"), F.lead("l_partkey").over(w).alias("after"))
 
 
 @query("WITH g AS (SELECT user_id, event_type, count(*)::BIGINT AS n, min(ts) AS first FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, event_type) AS k FROM g) SELECT user_id, event_type, n FROM r WHERE k = 1")

@@ -208,7 +208,7 @@ def evidence_union(spark, d):
     """U6."""
     li = m.table(spark, d, "lineitem").select(F.col("l_partkey").alias("rel_id"), F.col("l_suppkey").alias("uid"), "l_linenumber")
     child = li.filter("l_linenumber = 1").select("rel_id", "uid").distinct().withColumn("verdict", F.lit("accept"))
-    return audit.united_evidence(child, li.filter("l_linenumber <= 2").select("rel_id", "uid").distinct())
+    return audit.united_evidence(child, li.select("rel_id", "uid").distinct())
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")

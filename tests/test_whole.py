@@ -52,3 +52,35 @@ def test_cycles_of_any_length(spark):
     got = [r["a"] for r in graph.cyclic(df).collect()]
     assert sorted(got) == sorted(on_cycles(edges)) == [*range(20), 70, *range(100, 109)]
     assert graph.cyclic(df.limit(0)).count() == 0
+
+
+LINES = [(1, 1, 10, 5, "A", "F"), (1, 2, 11, 5, "N", "O"), (1, 3, 12, 6, "N", "F"), (1, 7, 12, 7, "R", "O"), (2, 1, 12, 6, "R", "O"), (2, 4, 13, 8, "A", "F"), (3, 5, 13, 8, "N", "F")]
+LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"
+
+
+def test_relations_of_all_lines(spark, tmp_path):
+    d = landed(spark, tmp_path, lineitem=(LINES, LINE))
+    got = {(r["a"], r["b"], r["rel"]): (r["source"], r["evidence_uid"]) for r in catalogue.queries()["relations_apply"](spark, d).collect()}
+    want = {}
+    for order, line, part, supp, flag, status in LINES:
+        source = {"A": "manual", "N": "ai"}.get(flag, "other")
+        was = want.get(key := (supp, part, "friend" if line == 1 else "rival"), ("", None))
+        want[key] = (max(source, was[0]), was[1] if was[1] or status == "O" else str(order))
+    assert got == want and len(got) == 6 and got[8, 13, "rival"] == ("manual", "2")
+
+
+def test_evidence_of_all_lines(spark, tmp_path):
+    orders = [(1, "F"), (2, "O"), (3, "F")]
+    d = landed(spark, tmp_path, lineitem=(LINES, LINE), orders=(orders, "o_orderkey long, o_orderstatus string"), part=([(p,) for p in (10, 11, 12, 13, 14)], "p_partkey long"))
+    got = {r["rel_id"]: (r["evidence_count"], r["state"]) for r in catalogue.queries()["evidence_state"](spark, d).collect()}
+    alive = {p: {o for o, _, q, *_ in LINES if q == p} for p in (10, 11, 12, 13, 14)}
+    own = {10: "none"}  # the fifth parts have no main evidence; no order has the others' key
+    assert got == {p: (len(o), "active" if 2 in o else own.get(p, "missing")) for p, o in alive.items()} and got[13] == (2, "active")
+
+
+def test_evidence_union_and_lineage_of_all_lines(spark, tmp_path):
+    d = landed(spark, tmp_path, lineitem=(LINES, LINE))
+    got = [(r["rel_id"], r["uid"]) for r in catalogue.queries()["evidence_union"](spark, d).collect()]
+    assert sorted(got) == sorted({(p, s) for _, _, p, s, *_ in LINES})
+    near = sorted((tuple(r) for r in catalogue.queries()["lineage_neighbours"](spark, d).collect()), key=lambda r: r[:2])
+    assert near == [(1, 1, None, 11), (1, 2, 10, 12), (1, 3, 11, 12), (1, 7, 12, None), (2, 1, None, 13), (2, 4, 12, None), (3, 5, None, None)]
