@@ -6,8 +6,10 @@ Generators with more recall propose further, overlapping spans: addresses with `
 dotted quads with bracketed dots, and runs of digits with separators. Each candidate gets format features (lengths,
 digit and separator counts, checksum and octet tests) and context features (words of contact or payment before it,
 what stands on either side), and gradient-boosted trees score it. The trees are fitted on the candidates of at most
-SAMPLE documents, those with the least hash of doc_id: positive where a candidate is a base span, negative where the base
-pattern fits but its test fails or a bare number has no format at all. The threshold is calibrated on a third of the sample that the trees
+SAMPLE documents, those with the least hash of doc_id: positive where a candidate is a base span, a formatted number of
+a phone's length after a word of calling, or 13 to 19 digits whose checksum holds after a word of cards; negative where the base pattern of its own kind (or, for a number, that of a
+dotted quad) fits the whole of it and its test fails, where it is a date, or where a bare number has no format and no
+such context; 13 to 15 digits whose checksum holds have not failed. All else has no label. The threshold is calibrated on a third of the sample that the trees
 did not see: the least score from which on PRECISION of the candidates are positive. Candidates that overlap a base
 span or a better candidate are dropped. All of this happens in each document's row; nothing is shuffled.
 
@@ -48,6 +50,10 @@ GENERATORS = {
 NEEDS = {"email": "[@\\[({]", "ip": "[0-9]", "card": "[0-9]", "phone": "\\+", "number": "[0-9]"}
 #: Words of contact, payment and network before a candidate.
 WORDS = r"(?i)(?:mail|contact|call|phone|tel|fax|mobile|cell|sms|whatsapp|card|visa|konto|iban|account|cvv|ip|host|addr|server|kontakt|correo|courriel|appel)"
+#: Words of calling and of cards, and dates, for the labels of numbers that are no base spans.
+CALLS = r"(?i)(?:call|phone|tel|fax|mobile|cell|sms|whatsapp|appel)"
+CARDS = r"(?i)(?:card|visa|cvv)"
+DATE = r"^(?:(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9])"
 SPAN = "array<struct<kind:string,start:int,end:int,s:string,before:string,after:string>>"
 FEATURES = ("chars", "digits", "letters", "gaps", "dots", "at", "plus", "brackets", "luhn", "octets", "word", "open", "closed", "like_email", "like_ip", "like_card")
 
@@ -108,6 +114,12 @@ def _passing(kind: str):
     return lambda x: passes(kind, x["s"])
 
 
+def _failing(kind: str):
+    if kind == "card":  # one of 13 to 15 digits fails by its checksum only
+        return lambda x: let(digits_of(x["s"]), lambda d: F.when(F.length(d).between(13, 19), ~luhn(d)).otherwise(F.lit(True)))
+    return lambda x: ~passes(kind, x["s"])
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(find(text, k, PATTERNS[k], NEEDS[k]), _passing(k)) for k in KINDS}
 
@@ -137,19 +149,27 @@ def overlaps(x: Column, spans: Column) -> Column:
     return F.exists(spans, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
 
 
+def label(x: Column, base: Column, failed: Column) -> Column:
+    """1.0, 0.0 or null for a candidate, from the base spans and the failed base matches of its text."""
+    is_base = F.exists(base, lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["kind"] == x["kind"]))
+    number = x["kind"].isin("card", "phone")
+    fails = F.exists(failed, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["kind"] == x["kind"]) | (number & (y["kind"] == "ip"))))
+    bare = number & x["s"].rlike("^[0-9]+$")
+    called = (x["kind"] == "phone") & ~bare & x["before"].rlike(CALLS) & passes("phone", x["s"])
+    paid = (x["kind"] == "card") & x["before"].rlike(CARDS) & ~_failing("card")(x)
+    no = fails | (number & x["s"].rlike(DATE)) | (bare & (x["kind"] == "phone") & ~x["before"].rlike(WORDS))
+    return F.when(is_base, 1.0).when(overlaps(x, base), F.lit(None)).when(no, 0.0).when(called | paid, 1.0)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[boosting.Model, float]:
     """docs: doc_id, text. The trees and their threshold."""
     ids = least_hashes(docs.select("doc_id"), "doc_id", sample)  # short rows only
     some = docs.join(ids, "doc_id", "left_semi")
     base = base_spans(F.col("text"))
-    rows = some.withColumn("base", F.concat(*base.values())).withColumn("tried", F.concat(*[find(F.col("text"), k, PATTERNS[k], NEEDS[k]) for k in KINDS]))
+    rows = some.withColumn("base", F.concat(*base.values())).withColumn("failed", F.concat(*[F.filter(find(F.col("text"), k, PATTERNS[k], NEEDS[k]), _failing(k)) for k in KINDS]))
     rows = rows.withColumn("x", F.explode(candidates(F.col("text")))).filter(F.col("x").isNotNull())
     x = F.col("x")
-    is_base = F.exists("base", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["kind"] == x["kind"]))
-    near = overlaps(x, F.col("base"))
-    failed = overlaps(x, F.col("tried"))
-    label = F.when(is_base, 1.0).when(~near & failed, 0.0)
-    got = rows.select(label.alias("label"), F.pmod(F.xxhash64("doc_id", "x.start"), F.lit(3)).alias("fold"), *[c.cast("double").alias(k) for k, c in features(x).items()]).filter("label is not null").collect()
+    got = rows.select(label(x, F.col("base"), F.col("failed")).alias("label"), F.pmod(F.xxhash64("doc_id", "x.start"), F.lit(3)).alias("fold"), *[c.cast("double").alias(k) for k, c in features(x).items()]).filter("label is not null").collect()
     y = np.array([r["label"] for r in got], float)
     m = np.array([[r[k] for k in FEATURES] for r in got], float).reshape(len(got), len(FEATURES))
     out = np.array([r["fold"] == 0 for r in got], bool)
@@ -178,7 +198,7 @@ def detect(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION)
         # of overlapping ones, the first kind's
         return F.aggregate(good, F.array().cast(SPAN), lambda acc, x: F.when(overlaps(x, acc), acc).otherwise(F.concat(acc, F.array(x))))
 
-    return rows.withColumn("more", F.when(text.rlike(r"[0-9]{2}|@|(?i:[\[({]\x20?at)"), let(base, chosen)).otherwise(F.array().cast(SPAN)))
+    return rows.withColumn("more", F.when(text.rlike(r"[0-9]|@|(?i:[\[({]\x20?at)"), let(base, chosen)).otherwise(F.array().cast(SPAN)))
 
 
 def _joined(spans: Column) -> Column:
