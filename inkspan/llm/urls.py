@@ -2,8 +2,9 @@
 
 Rules name a host and a path prefix; one fits its host and all subdomains if the URL's path starts with the rule's,
 and the longest fitting rule wins. URLs that no rule fits are judged by trees trained on labelled URLs: those that a
-rule decides, or any table of url and label (1: block). The training sample is the TRAIN rows with the least hash of
-the URL, so it is bounded, repeatable and spread over all rows; the suffix statistics used as a feature are counts of the sample too.
+rule decides, or any table of url and label (1: block). The training sample is the TRAIN distinct labelled URLs with the
+least hash, so it is bounded, repeatable and spread over all of them, and a URL counts once however often it is seen. The
+suffix statistics used as a feature are counts of all labelled rows, made in one aggregation and joined by suffix.
 The fitted trees become a CASE expression, so that judging stays in the JVM.
 
 Features: lengths of URL, host and path; path depth; host labels; digit and non-letter shares; entropy of the URL's
@@ -22,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import least_hashes
+from .common import cut, small
 
 #: verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled rows that the trees see at most.
+#: Labelled URLs that the trees see at most.
 TRAIN = 20_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/?#&=%:"
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,49 +87,53 @@ def parsed(urls: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({f"f_{k}": c.cast("double") for k, c in lexical(u, F.col("host"), F.col("path")).items()} | {f"s_{k}": c for k, c in suffixes(F.col("host"), F.col("path")).items()})
 
 
-def train(labelled: DataFrame, limit: int = TRAIN) -> tuple[boosting.Model, dict[str, dict[str, float]]]:
-    """labelled: a parsed() table with label (1.0: block). Returns the trees and the suffixes' rates."""
-    names = [c for c in labelled.columns if c.startswith("f_")]
+def suffix_rates(labelled: DataFrame) -> tuple[dict[str, DataFrame], float]:
+    """labelled: a parsed() table with label. For each kind of suffix, its values with their smoothed share of blocked
+    rows, in the kind's column and r_ and the kind; and the share over all rows. Nothing is sampled or capped."""
     kinds = [c for c in labelled.columns if c.startswith("s_")]
-    rows = least_hashes(labelled.select("url", "label", *names, *kinds), "url", limit).collect()
+    y, n = labelled.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("label")).first()
+    prior = (y + 1) / (n + 2) if n else 0.0
+    share = (F.sum("label") + 5 * prior) / (F.count("label") + 5)
+    return {c: labelled.groupBy(c).agg(share.alias(f"r_{c}")) for c in kinds}, float(prior)
+
+
+def with_rates(rows: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
+    """rows with the rate of each kind of suffix; the prior where none is known."""
+    for c, table in rates.items():
+        rows = rows.join(table, c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", F.lit(prior)))
+    return rows
+
+
+def distinct_sample(labelled: DataFrame, limit: int) -> DataFrame:
+    """url, label: the `limit` distinct URLs with the least hash; of differing labels, the mean. As in least_hashes, only
+    about as many as are wanted are grouped and ordered."""
+    rows, h = labelled.select("url", "label"), F.xxhash64("url")
+    n = rows.agg(F.approx_count_distinct("url")).first()[0]
+    if n > 2 * limit:
+        span = 1 << 63
+        rows = rows.filter(h < F.lit(int(-span + 2 * span * 1.5 * limit / n)))
+    return rows.groupBy("url").agg(F.avg("label").alias("label")).orderBy(h, "url").limit(limit)
+
+
+def train(labelled: DataFrame, limit: int = TRAIN) -> tuple[boosting.Model, dict[str, DataFrame], float]:
+    """labelled: a parsed() table with label (1.0: block). Returns the trees, the suffixes' rates and the prior."""
+    names = [c for c in labelled.columns if c.startswith("f_")]
+    rates, prior = suffix_rates(labelled)
+    rates = {c: small(cut(t, "rates")) for c, t in rates.items()}
+    picked = with_rates(parsed(distinct_sample(labelled, limit)), rates, prior)
+    kinds = [f"r_{c}" for c in rates]
+    rows = picked.select("url", "label", *names, *kinds).orderBy(F.xxhash64("url"), "url").collect()
     y = np.array([r["label"] for r in rows], float)
-    x = np.array([[r[c] for c in names] for r in rows], float).reshape(len(rows), len(names))
-    prior = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
-    rates: dict[str, dict[str, float]] = {}
-    extra = []
-    for c in kinds:
-        total: dict[str, list[float]] = {}
-        for r, v in zip(rows, y):
-            t = total.setdefault(r[c], [0.0, 0.0])
-            t[0] += v
-            t[1] += 1
-        common = sorted(total.items(), key=lambda kv: (-kv[1][1], kv[0]))[:200]
-        rates[c] = {k: float((a + 5 * prior) / (n + 5)) for k, (a, n) in common}
-        extra.append([rates[c].get(r[c], prior) for r in rows])
-    rates[""] = {"": float(prior)}
-    x = np.column_stack([x, *map(np.array, extra)]) if len(rows) else np.zeros((0, len(names) + len(kinds)))
-    return boosting.fit(x, y, names + kinds, rounds=20, depth=3), rates
-
-
-def blocked(model: boosting.Model, rates: dict[str, dict[str, float]]) -> Column:
-    """Log-odds over zero."""
-
-    def value(name: str) -> Column:
-        if name not in rates:
-            return F.col(name)
-        table = F.create_map(*[F.lit(v) for kv in rates[name].items() for v in kv]) if rates[name] else None
-        return F.coalesce(F.element_at(table, F.col(name)), F.lit(rates[""][""])) if table is not None else F.lit(rates[""][""])
-
-    # suffix rates are looked up once, before the trees
-    return model.column(lambda n: F.col(n) if n not in rates else F.col(f"r_{n}")) > 0, {f"r_{n}": value(n) for n in rates if n}
+    x = np.array([[r[c] for c in names + kinds] for r in rows], float).reshape(len(rows), len(names + kinds))
+    return boosting.fit(x, y, names + kinds, rounds=20, depth=3), rates, prior
 
 
 def judge(pages: DataFrame, rules=RULES, limit: int = TRAIN) -> DataFrame:
     """page_id, url, host, path, rule, verdict, by (rule or model)."""
     rows = parsed(pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")), rules)
     own = rows.filter(F.col("found").isNotNull()).withColumn("label", (F.col("found.verdict") == "block").cast("double"))
-    verdict, looked_up = blocked(*train(own, limit))
-    rows = rows.withColumns(looked_up).withColumn("model_block", verdict)
+    model, rates, prior = train(own, limit)
+    rows = with_rates(rows, rates, prior).withColumn("model_block", model.column(F.col) > 0)
     return rows.select(
         "page_id", "url", "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.when(F.col("model_block"), "block").otherwise("allow")).alias("verdict"),

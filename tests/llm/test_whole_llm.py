@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from inkspan.llm import pii
+from inkspan.llm import pii, urls
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,22 @@ def test_pii_finds_numbers_without_plus_and_bracketed_dots(spark):
     odd = [(1000, "so call (555) 123-4567"), (1001, "order 87654321"), (1002, "ip 8[.]8[.]8[.]8"), (1003, "card 3782 822463 10005")]
     got = {r["doc_id"]: [(x["kind"], x["s"]) for x in r["more"]] for r in pii.detect(spark.createDataFrame(made + odd, "doc_id long, text string")).filter("doc_id >= 1000").collect()}
     assert got == {1000: [("phone", "(555) 123-4567")], 1001: [], 1002: [("ip", "8[.]8[.]8[.]8")], 1003: [("card", "3782 822463 10005")]}
+
+
+def labelled(spark, made):
+    rows = spark.createDataFrame(made, "url string, label double")
+    return urls.parsed(rows)
+
+
+def test_url_suffix_rates_are_of_all_rows(spark):
+    made = [(f"http://h{k}.a/x.e{k % 300}", float(k % 300 < 7)) for k in range(3000)]
+    _, rates, prior = urls.train(labelled(spark, made), 100)
+    got = {r["s_extension"]: r["r_s_extension"] for r in rates["s_extension"].collect()}
+    assert prior == pytest.approx(71 / 3002)
+    assert got == pytest.approx({f"e{k}": (10 * (k < 7) + 5 * prior) / 15 for k in range(300)})
+
+
+def test_url_sample_takes_a_url_once(spark):
+    hot = [(f"http://hot{k}.a/", 1.0) for k in range(20) for _ in range(100)]
+    got = [r["url"] for r in urls.distinct_sample(labelled(spark, hot + [(f"http://h{k}.b/", 0.0) for k in range(1000)]), 200).collect()]
+    assert len(got) == len(set(got)) == 200
