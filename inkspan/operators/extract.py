@@ -44,8 +44,16 @@ def cleaned(html: Column) -> Column:
 
 
 def without_notes(text: Column, depth: int = 4) -> Column:
-    """H5: angle-bracket notes, innermost first, to the given depth of nesting."""
-    return reduce(lambda c, _: F.regexp_replace(c, "〈[^〈〉]*〉", ""), range(depth), text)
+    """H5: angle-bracket notes, however deep they are nested. The innermost `depth` levels go by patterns; what is left is
+    read with a stack of the texts after each open bracket. Brackets without a partner stay."""
+    rest = reduce(lambda c, _: F.regexp_replace(c, "〈[^〈〉]*〉", ""), range(depth), text)
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.size(acc)
+        more = F.concat(F.slice(acc, F.lit(1), n - 1), F.array(F.concat(F.element_at(acc, -1), x)))
+        return F.when(x == "〈", F.concat(acc, F.array(F.lit("")))).when((x == "〉") & (n > 1), F.slice(acc, F.lit(1), n - 1)).otherwise(more)
+
+    return F.aggregate(F.regexp_extract_all(rest, F.lit("[〈〉]|[^〈〉]+"), F.lit(0)), F.array(F.lit("")), step, lambda acc: F.array_join(acc, "〈"))
 
 
 def peeled(text: str) -> tuple[str, str]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import re
 from collections import deque
 
-from inkspan.operators import graph
+from inkspan.operators import extract, graph
 from inkspan.plans import catalogue
+from pyspark.sql import functions as F
 
 
 def reached(edges: set[tuple], start) -> dict:
@@ -84,3 +87,16 @@ def test_evidence_union_and_lineage_of_all_lines(spark, tmp_path):
     assert sorted(got) == sorted({(p, s) for _, _, p, s, *_ in LINES})
     near = sorted((tuple(r) for r in catalogue.queries()["lineage_neighbours"](spark, d).collect()), key=lambda r: r[:2])
     assert near == [(1, 1, None, 11), (1, 2, 10, 12), (1, 3, 11, 12), (1, 7, 12, None), (2, 1, None, 13), (2, 4, 12, None), (3, 5, None, None)]
+
+
+def test_notes_go_at_any_depth(spark):
+    def plain(text):
+        while (less := re.sub("〈[^〈〉]*〉", "", text)) != text:
+            text = less
+        return text
+
+    deal = random.Random(1)
+    texts = ["a" + "〈b" * 9 + "〉" * 9 + "c", "a" + "〈b" * 7 + "〉" * 5 + "c", "〉" * 6 + "a〈", "", "x\ny"] + ["".join(deal.choices("a〈〉", k=60)) for _ in range(300)]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], ["s"]).select(extract.without_notes(F.col("s"))).collect()]
+    assert got == [plain(t) for t in texts] and got[0] == "ac"
+    assert spark.createDataFrame([(None,)], "s string").select(extract.without_notes(F.col("s"))).first()[0] is None
