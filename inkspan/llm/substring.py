@@ -1,11 +1,13 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by a hash grouping of word windows.
 
-Each word starts a suffix. Only its first WINDOW words matter, so trees are kept to that depth. Suffixes are split by
-prefixes of variable length: counts over the whole corpus of hashed prefixes of 1, 2, 4, ... words say which prefixes
-are small enough to be a group; a larger one is split by its longer prefixes. Groups are packed into bins of like
-size, and a bin's subtrees are built by one task: its suffixes are ordered by the label that leads from the prefix to
-the full depth (a 64-bit fingerprint of those words), and neighbours with the same label share an internal node at
-full depth, which is a maximal repeat's prefix. The node's smallest doc_id decides which of its suffixes are removed.
+Each word starts a window of WINDOW words. Windows are grouped by a 64-bit hash of their words; the smallest doc_id of a
+group decides which of its windows are removed. This stands in for prefix-partitioned suffix trees: no suffixes are
+ordered, no edges or common prefixes are found and no maximal repeats are listed, because removal needs only whether
+a window stands in a smaller document, and trees would need the words themselves in every bin.
+
+Which bin a window goes to follows from its words' prefix, of variable length: counts over the whole corpus of hashed
+prefixes of 1, 2, 4, ... words say which prefixes are small enough to be a group; a larger one is split by its longer
+prefixes. Groups are packed into bins of like size. This evens out the bins and does not change the result.
 
 Documents are dealt by a hash of doc_id into batches of a few MB. A batch sends one suffix for each of its distinct
 windows, with the smallest doc_id that has it there, so a passage in a third of all documents arrives once for each
@@ -147,7 +149,7 @@ def shared_windows(rows: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
         label, doc = np.concatenate(labels), np.concatenate(docs)
         order = np.argsort(label, kind="stable")
         same = label[order[1:]] == label[order[:-1]]
-        inner = np.zeros(len(order), bool)  # suffixes below an internal node at full depth
+        inner = np.zeros(len(order), bool)  # windows that share their hash with another
         inner[1:] |= same
         inner[:-1] |= same
         order = order[inner]
