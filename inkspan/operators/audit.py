@@ -74,8 +74,9 @@ def not_fixed(strings: DataFrame, f) -> DataFrame:
 
 
 def derived_titles(persons: DataFrame, cores: DataFrame) -> DataFrame:
-    """Titles of a family with two candidates or more: persons (id, title), cores (core)."""
-    hit = persons.join(cores, persons.title.startswith(cores.core))  # cores are a short list
+    """Titles of a family with two candidates or more: persons (id, title), cores (core). A title meets its
+    prefixes of the lengths that cores have, by equality."""
+    hit = persons.select("id", F.explode(_parts_of(F.col("title"), _lengths(cores, "core"), F.lit(1))).alias("core")).join(cores.distinct(), "core")
     return hit.groupBy("core").agg(F.sort_array(F.collect_set("id")).alias("candidates")).filter(F.size("candidates") >= 2)
 
 
@@ -91,11 +92,31 @@ def united_evidence(child: DataFrame, main: DataFrame) -> DataFrame:
 
 
 def united_scopes(rows: DataFrame, by: str, lists: str) -> DataFrame:
-    """The distinct members of all lists of a key."""
-    return rows.groupBy(by).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(lists)))).alias(lists))
+    """The distinct members of all lists of a key; sets are united on each side of the shuffle, so a hot key costs no
+    more than its members. A key whose lists are all empty or null has none."""
+    return rows.select(by, F.explode_outer(lists).alias(lists)).groupBy(by).agg(F.sort_array(F.collect_set(lists)).alias(lists))
 
 
 def titles_with(places: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Chapters whose title holds a place's alias; aliases become one constant pattern, so there is no product."""
-    rows = places.select("id", F.explode("aliases").alias("alias"))
-    return chapters.join(rows, F.contains(chapters["title"], rows["alias"]))
+    """Chapters whose title holds a place's alias: a title's substrings of the lengths that aliases have meet them by
+    equality, each once."""
+    rows = places.select("id", F.explode("aliases").alias("alias")).filter("alias <> ''").distinct()
+    parts = _parts_of(F.col("title"), _lengths(rows, "alias"), None)
+    return chapters.withColumn("alias", F.explode(parts)).join(rows, "alias")
+
+
+def _lengths(rows: DataFrame, column: str) -> list[int]:
+    """The lengths that a dictionary's words have, a few numbers however long it is."""
+    return sorted(r[0] for r in rows.select(F.length(column)).distinct().collect() if r[0])
+
+
+def _parts_of(text: Column, lengths: list[int], at: Column | None) -> Column:
+    """The distinct substrings of these lengths, at one place or (None) at every place."""
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        last = F.length(text) - (n - 1)
+        places = F.array(at) if at is not None else F.sequence(F.lit(1), last)
+        return F.when(last >= 1, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(none)
+
+    return F.array_distinct(F.concat(none, *[of(n) for n in lengths]))

@@ -97,10 +97,23 @@ def is_nav(text: Column, kind: Column, words: tuple[str, ...] = NAV_WORDS) -> Co
     return (text == "") | short | text.rlike("^【[^】]*】$") | bars | text.rlike("|".join(words))
 
 
+#: A title's genre by what it begins with, in this order, then by what it ends with once its part mark is off.
+GENRE_HEADS = (("载记", ("載記", "载记")), ("列传", ("列傳", "列传", "傳")), ("本纪", ("帝紀", "帝纪", "本紀", "本纪")), ("书", ("志",)))
+GENRE_TAILS = (("世家", ("世家",)), ("列传", ("列传", "列傳", "傳")), ("本纪", ("本纪", "本紀", "紀")), ("表", ("表",)), ("书", ("书", "書", "志")))
+PREFACE, PREFACE_GENRE, HELD_ANYWHERE, NO_GENRE = "太史公自序", "列传", "載記", "其他"
+PART_MARK = "(?:上|中|下|[一二三四五六七八九十])(?:之[上下])?$"
+
+
 def genre(title: Column) -> Column:
-    """By the first or last character of the title without its part mark."""
-    bare = F.regexp_replace(title, "[上中下]$", "")
-    return F.when(bare.endswith("本紀") | bare.endswith("紀"), "annals").when(bare.endswith("世家"), "houses").when(bare.endswith("表"), "tables").when(bare.endswith("書") | bare.endswith("志"), "treatises").when(bare.endswith("傳"), "lives").otherwise("other")
+    """H13. A title that is nothing but a part mark keeps it."""
+    stem = F.regexp_replace(title, PART_MARK, "")
+    stem = F.when(stem == "", title).otherwise(stem)
+    found = F.when(stem == PREFACE, PREFACE_GENRE).when(F.contains(title, F.lit(HELD_ANYWHERE)), GENRE_HEADS[0][0])
+    for kinds, test, text in ((GENRE_HEADS, F.startswith, title), (GENRE_TAILS, F.endswith, stem)):
+        for kind, marks in kinds:
+            for mark in marks:
+                found = found.when(test(text, F.lit(mark)), kind)
+    return found.otherwise(NO_GENRE)
 
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import confidence, short_id
@@ -60,14 +60,26 @@ def with_evidence(relations: DataFrame, evidence: DataFrame, sents: DataFrame, c
     return r.withColumn("confidence", F.when(F.col("evidence_uid").isNotNull() & (F.col("state") != "active"), F.least("confidence", F.lit(cap))).otherwise(F.col("confidence"))).drop("now", "st", "alive")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) left when nodes without an edge in or without one out are taken away until none is left; what lies on
+    a cycle stays. Each round costs a pass over the edges that remain."""
+    now = edges.select("a", "b").distinct().checkpoint()
+    n, before = now.count(), -1
+    while n != before:
+        heads, tails = now.select(F.col("a").alias("b")).distinct(), now.select(F.col("b").alias("a")).distinct()
+        now = now.join(heads, "b", "left_semi").join(tails, "a", "left_semi").select("a", "b").checkpoint()
+        n, before = now.count(), n
+    return now
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves over directed edges, by paths of any length. Each round joins the pairs (a, b) so
-    far with themselves, which doubles the length they cover, until no new pair appears; a pair is kept for each node
-    and each one it reaches. Rounds are checkpointed, so the plan does not grow with them."""
+    """Nodes that reach themselves over directed edges, by paths of any length. What cannot lie on a cycle is trimmed
+    first; then each round joins the pairs (a, b) so far with themselves, which doubles the length they cover, until no new
+    pair appears. Rounds are checkpointed, so the plan does not grow with them."""
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkspan-"))
-    reach = edges.select("a", "b").distinct().checkpoint()
+        sc.setCheckpointDir(shared_dir(edges.sparkSession))
+    reach = trimmed(edges)
     n, before = reach.count(), -1
     while n != before:
         longer = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
@@ -76,10 +88,17 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return reach.filter("a = b").select("a")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine only where it is unset and the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or "file://" + tempfile.mkdtemp(prefix="inkspan-")
+
+
 def conflicts(edges: DataFrame) -> DataFrame:
-    """Pairs that stand in both directions of the same relation."""
-    other = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "rel")
-    return edges.select("a", "b", "rel").join(other, ["a", "b", "rel"], "left_semi").filter("a < b").distinct()
+    """Pairs (a, b) for which two relations or more are stated, with these. edges: a, b, rel."""
+    return edges.groupBy("a", "b").agg(F.sort_array(F.collect_set("rel")).alias("rels")).filter(F.size("rels") > 1)
 
 
 def carried(events: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -35,18 +35,20 @@ def overridden(mentions: DataFrame, overrides: DataFrame) -> DataFrame:
     only marks. Adds overridden (0/1)."""
     m = mentions.withColumn("of", F.row_number().over(Window.partitionBy("uid", "surface").orderBy("s", "e")))
     o = overrides.select("uid", F.col("s").alias("o_s"), F.col("e").alias("o_e"), "surface", F.col("nth").alias("o_nth"), "action", F.col("new_id").alias("o_id"))
-    exact = m.join(o, (m.uid == o.uid) & (m.surface == o.surface) & (m.s == o.o_s) & (m.e == o.o_e)).select(m.uid, m.surface, "s", "e", "action", "o_id")
+    exact = m.join(o, (m.uid == o.uid) & (m.surface == o.surface) & (m.s == o.o_s) & (m.e == o.o_e)).select(m.uid, m.surface, "s", "e", "action", "o_id", F.lit(1).alias("exact"))
     # only overrides without an exact meeting go by place
     rest = o.join(exact.select("uid", "surface", F.col("s").alias("o_s"), F.col("e").alias("o_e")), ["uid", "surface", "o_s", "o_e"], "left_anti")
-    byplace = m.join(rest, (m.uid == rest.uid) & (m.surface == rest.surface) & (m.of == rest.o_nth)).select(m.uid, m.surface, "s", "e", "action", "o_id")
-    hit = exact.unionByName(byplace).dropDuplicates(["uid", "surface", "s", "e"])
+    byplace = m.join(rest, (m.uid == rest.uid) & (m.surface == rest.surface) & (m.of == rest.o_nth)).select(m.uid, m.surface, "s", "e", "action", "o_id", F.lit(0).alias("exact"))
+    # of overrides that meet one mention the exact one holds, then the last by action and id
+    clash = exact.unionByName(byplace).groupBy("uid", "surface", "s", "e").agg(F.max(F.struct("exact", "action", "o_id")).alias("x"))
+    hit = clash.select("uid", "surface", "s", "e", "x.action", "x.o_id")
     out = m.drop("of").join(hit, ["uid", "surface", "s", "e"], "left").filter("action is null or action <> 'drop'")
     return out.withColumns({"id": F.when(F.col("action") == "reassign", F.col("o_id")).otherwise(F.col("id")), "overridden": F.col("action").isNotNull().cast("int")}).drop("action", "o_id")
 
 
 def override_states(overrides: DataFrame, mentions: DataFrame) -> DataFrame:
     """What has become of each override: mentions are those of all kinds, united."""
-    m = mentions.select(*KEY, F.col("id").alias("now")).dropDuplicates(KEY)
+    m = mentions.groupBy(*KEY).agg(F.max("id").alias("now"))  # the same of two claims at each run
     o = overrides.join(m, KEY, "left")
     state = F.when(F.col("action") == "drop", F.when(F.col("now").isNull(), "applied").otherwise("pending")).when(F.col("now").isNull(), "lost").when(F.col("action") == "keep", "applied").when(F.col("now") == F.col("new_id"), "applied").otherwise("pending")
     return o.withColumn("state", state)

@@ -11,7 +11,7 @@ from inkspan.sources import sinks
 from . import model as m
 from .registry import query
 
-EDGE_SQL = "e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45)"
+EDGE_SQL = "e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)"
 
 
 def edges(spark, d):
@@ -27,7 +27,7 @@ def graph_khop(spark, d):
     return graph.neighbourhood(edges(spark, d), spark.range(1, 2).select(F.col("id").alias("node")), 3)
 
 
-REL = "r AS (SELECT l_suppkey AS a, l_partkey AS b, CASE WHEN l_linenumber = 1 THEN 'friend' ELSE 'rival' END AS rel, max(CASE l_returnflag WHEN 'A' THEN 'manual' WHEN 'N' THEN 'ai' ELSE 'other' END) AS source FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3)"
+REL = "r AS (SELECT l_suppkey AS a, l_partkey AS b, CASE WHEN l_linenumber = 1 THEN 'friend' ELSE 'rival' END AS rel, max(CASE l_returnflag WHEN 'A' THEN 'manual' WHEN 'N' THEN 'ai' ELSE 'other' END) AS source FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def rels(spark, d):
@@ -36,7 +36,7 @@ def rels(spark, d):
     return li.groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_linenumber") == 1, "friend").otherwise("rival").alias("rel")).agg(F.max(source).alias("source"))
 
 
-@query("WITH " + REL + ", ev AS (SELECT l_suppkey AS a, l_partkey AS b, CASE WHEN l_linenumber = 1 THEN 'friend' ELSE 'rival' END AS rel, l_orderkey AS ord, l_orderkey::VARCHAR AS uid FROM lineitem WHERE l_linenumber <= 2 AND l_linestatus <> 'O'), f AS (SELECT a, b, rel, arg_min(uid, ord) AS evidence_uid FROM ev GROUP BY 1, 2, 3) SELECT r.a, r.b, r.rel, r.source, f.evidence_uid, substr(md5(r.a || '|' || r.b || '|' || r.rel), 1, 12) AS rel_id, (r.rel = 'friend')::INT AS symmetric, CASE WHEN f.evidence_uid IS NULL THEN 0.4 ELSE CASE r.source WHEN 'manual' THEN 1.0 WHEN 'ai' THEN 0.8 ELSE 0.4 END END::DOUBLE AS confidence FROM r LEFT JOIN f USING (a, b, rel)")
+@query("WITH " + REL + ", ev AS (SELECT l_suppkey AS a, l_partkey AS b, CASE WHEN l_linenumber = 1 THEN 'friend' ELSE 'rival' END AS rel, l_orderkey AS ord, l_orderkey::VARCHAR AS uid FROM lineitem WHERE l_linestatus <> 'O'), f AS (SELECT a, b, rel, arg_min(uid, ord) AS evidence_uid FROM ev GROUP BY 1, 2, 3) SELECT r.a, r.b, r.rel, r.source, f.evidence_uid, substr(md5(r.a || '|' || r.b || '|' || r.rel), 1, 12) AS rel_id, (r.rel = 'friend')::INT AS symmetric, CASE WHEN f.evidence_uid IS NULL THEN 0.4 ELSE CASE r.source WHEN 'manual' THEN 1.0 WHEN 'ai' THEN 0.8 ELSE 0.4 END END::DOUBLE AS confidence FROM r LEFT JOIN f USING (a, b, rel)")
 def relations_apply(spark, d):
     """D15, U6."""
     li = m.table(spark, d, "lineitem")
@@ -56,7 +56,7 @@ def relations_check(spark, d):
 
 
 @query(
-    "WITH o AS (SELECT o_orderkey::VARCHAR AS uid, o_orderstatus || '' AS now, CASE WHEN o_orderstatus = 'F' THEN 'dead' ELSE 'active' END AS st FROM orders), ev AS (SELECT DISTINCT l_partkey AS rel_id, l_orderkey::VARCHAR AS uid FROM lineitem WHERE l_linenumber = 1), "
+    "WITH o AS (SELECT o_orderkey::VARCHAR AS uid, o_orderstatus || '' AS now, CASE WHEN o_orderstatus = 'F' THEN 'dead' ELSE 'active' END AS st FROM orders), ev AS (SELECT DISTINCT l_partkey AS rel_id, l_orderkey::VARCHAR AS uid FROM lineitem), "
     "r AS (SELECT p_partkey AS rel_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey * 7)::VARCHAR END AS evidence_uid, 'O' AS evidence_text, 0.8::DOUBLE AS confidence FROM part), g AS (SELECT rel_id, count(*)::BIGINT AS evidence_count, max((coalesce(st = 'active', false))::INT) AS alive FROM ev LEFT JOIN o USING (uid) GROUP BY rel_id), "
     "x AS (SELECT r.rel_id, r.confidence, r.evidence_uid, coalesce(g.evidence_count, 0)::BIGINT AS evidence_count, CASE WHEN g.alive = 1 THEN 'active' WHEN r.evidence_uid IS NULL THEN 'none' WHEN o.st IS NULL THEN 'missing' ELSE o.st END AS state, (o.now IS NOT NULL AND o.now <> r.evidence_text)::INT AS stale FROM r LEFT JOIN o ON o.uid = r.evidence_uid LEFT JOIN g ON g.rel_id = r.rel_id) "
     "SELECT rel_id, evidence_count, state, stale, CASE WHEN evidence_uid IS NOT NULL AND state <> 'active' THEN least(confidence, 0.4) ELSE confidence END AS confidence FROM x"
@@ -70,17 +70,18 @@ def evidence_state(spark, d):
     return graph.with_evidence(r, ev, o).select("rel_id", "evidence_count", "state", "stale", "confidence")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b FROM customer WHERE c_custkey % 97 = 0), p(a, b, k) AS (SELECT a, b, 1 FROM e UNION SELECT p.a, e.b, k + 1 FROM p JOIN e ON p.b = e.a WHERE k < 8) SELECT DISTINCT a FROM p WHERE a = b")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b FROM customer), p(a, b) AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT DISTINCT a FROM p WHERE a = b")
 def genealogy_cycles(spark, d):
     """D22."""
     e = m.table(spark, d, "customer").select(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 25).cast("int").alias("b"))
     return graph.cyclic(e)
 
 
-@query("WITH r AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 25)::INT AS b, c_mktsegment AS rel FROM customer) SELECT DISTINCT r.a, r.b, r.rel FROM r JOIN r q ON q.a = r.b AND q.b = r.a AND q.rel = r.rel WHERE r.a < r.b")
+@query("SELECT c_nationkey AS a, (c_custkey % 25)::INT AS b, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS rels FROM customer GROUP BY 1, 2 HAVING count(DISTINCT c_mktsegment) > 1")
 def genealogy_conflicts(spark, d):
-    r = m.table(spark, d, "customer").select(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 25).cast("int").alias("b"), F.col("c_mktsegment").alias("rel")).distinct()
-    return graph.conflicts(r)
+    """Pairs with two generations' relations at once."""
+    r = m.table(spark, d, "customer").select(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 25).cast("int").alias("b"), F.col("c_mktsegment").alias("rel"))
+    return graph.conflicts(r).select("a", "b", F.concat_ws(",", "rels").alias("rels"))
 
 
 YEAR = "CASE WHEN event_id % 4 = 0 THEN NULL ELSE (value * 10)::INT END"

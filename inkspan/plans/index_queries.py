@@ -184,7 +184,7 @@ def quote_depth(spark, d):
     return index.quote_depth(m.sentences(spark, d), "(", ")").select("uid", F.col("depth").cast("long").alias("depth"))
 
 
-@query("WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS after FROM lineitem) SELECT l_orderkey, l_linenumber, before, after FROM l WHERE l_linenumber = 2")
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS after FROM lineitem) SELECT l_orderkey, l_linenumber, before, after FROM l")
 def lineage_neighbours(spark, d):
     """W9."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")

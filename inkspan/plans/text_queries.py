@@ -178,10 +178,16 @@ def page_titles(spark, d):
     return m.table(spark, d, "pages").select("page_id", readers.page_title(F.col("html")).alias("title"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'annals' WHEN p_type LIKE '%BRASS' THEN 'lives' ELSE 'other' END AS genre FROM part")
+GENRE_SAMPLES = [
+    ("高祖本紀上", "本纪"), ("匈奴傳上", "列传"), ("五行志下之上", "书"), ("郡國志五", "书"), ("太史公自序", "列传"), ("載記第三十", "载记"), ("前趙載記", "载记"), ("列傳第四", "列传"),
+    ("志第一", "书"), ("帝紀第十", "本纪"), ("孔子世家", "世家"), ("百官公卿表下", "表"), ("封禪書", "书"), ("上", "其他"), ("目錄", "其他"), ("表志傳", "列传"),
+]
+
+
+@query("SELECT p_partkey, g.genre FROM part JOIN (" + m.values([(str(k), t, g) for k, (t, g) in enumerate(GENRE_SAMPLES)], "k, title, genre") + ") g ON g.k = (p_partkey % " + str(len(GENRE_SAMPLES)) + ")::VARCHAR")
 def genre_classify(spark, d):
-    """H13."""
-    title = F.when(F.col("p_type").endswith("STEEL"), "高祖本紀上").when(F.col("p_type").endswith("BRASS"), "列傳下").otherwise(F.col("p_type"))
+    """Titles are dealt to the parts; the SQL has their genres by hand."""
+    title = F.element_at(F.array(*[F.lit(t) for t, _ in GENRE_SAMPLES]), (F.col("p_partkey") % len(GENRE_SAMPLES) + 1).cast("int"))
     return m.table(spark, d, "part").select("p_partkey", extract.genre(title).alias("genre"))
 
 

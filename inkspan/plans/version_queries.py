@@ -203,7 +203,7 @@ def dangling_references(spark, d):
     return audit.dangling(m.table(spark, d, "lineitem").select((F.col("l_partkey") % 3000 + 1).alias("k")), "k", m.table(spark, d, "part").filter("p_size > 25"), "p_partkey")
 
 
-@query("WITH c AS (SELECT DISTINCT l_partkey AS rel_id, l_suppkey AS uid, 'accept' AS verdict FROM lineitem WHERE l_linenumber = 1), r AS (SELECT DISTINCT l_partkey AS rel_id, l_suppkey AS uid FROM lineitem WHERE l_linenumber <= 2) SELECT * FROM c UNION ALL SELECT rel_id, uid, 'accept' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.rel_id = r.rel_id AND c.uid = r.uid)")
+@query("WITH c AS (SELECT DISTINCT l_partkey AS rel_id, l_suppkey AS uid, 'accept' AS verdict FROM lineitem WHERE l_linenumber = 1), r AS (SELECT DISTINCT l_partkey AS rel_id, l_suppkey AS uid FROM lineitem) SELECT * FROM c UNION ALL SELECT rel_id, uid, 'accept' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.rel_id = r.rel_id AND c.uid = r.uid)")
 def evidence_union(spark, d):
     """U6."""
     li = m.table(spark, d, "lineitem").select(F.col("l_partkey").alias("rel_id"), F.col("l_suppkey").alias("uid"), "l_linenumber")

@@ -1,4 +1,4 @@
-"""Sinks. All write by Spark's commit protocol: readers see the old table or the new one."""
+"""Sinks. A table that is replaced is written beside the old one and takes its name when it is whole."""
 
 from __future__ import annotations
 
@@ -6,10 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def swapped(df: DataFrame, path: str, write) -> None:
+    """write(DataFrameWriter, path) to a folder beside path, which is renamed to path once the job has committed. Until
+    then readers see the old table; between the two renames there is none, and the old one is deleted last."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old, now = (hadoop(path.rstrip("/") + end) for end in (".new", ".old", ""))
+    store = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(old) and not store.exists(now):  # an earlier run ended between its renames
+        store.rename(old, now)
+    write(df.write.mode("overwrite"), new.toString())
+    if store.exists(now):
+        store.delete(old, True)
+        store.rename(now, old)
+    store.rename(new, now)
+    store.delete(old, True)
+
+
 def json_by_book(sents: DataFrame, path: str) -> None:
     """K1, K2: a folder for each book, a line of JSON for each chapter."""
     nested = sents.groupBy("book", "chapter").agg(F.sort_array(F.collect_list(F.struct("para_seq", "seq", "uid", "text"))).alias("sentences"))
-    nested.write.mode("overwrite").partitionBy("book").json(path)
+    swapped(nested, path, lambda w, at: w.partitionBy("book").json(at))
 
 
 def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
