@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 text that one vectorised step handles at a time; numpy holds about 40 times as much.
 STEP = 2 << 20
+#: Stands for a null doc_id, which is later than all others.
+NO_ID = (1 << 63) - 1
+#: Batches of documents at least, so that small inputs are worked on in parallel.
+LEAST = 8
 #: Removes the shuffle files of an execution when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -28,22 +32,30 @@ SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one is set only where none is."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine is set
+    if the master is local, as in tests; on a cluster that is an error, as no other machine would see the folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="inkspan-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/inkspan-{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, store = _at(spark, path)
+    store.deleteOnExit(hadoop)
     return path
 
 
@@ -59,7 +71,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN, was)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote. Only for those that nothing still to be run reads, not even to be made again."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            hadoop, store = _at(t.sparkSession, path)
+            store.delete(hadoop, True)
 
 
 def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
@@ -68,15 +90,16 @@ def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
-def least_hashes(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """The `limit` rows with the least hash of key: a bounded, repeatable sample spread over all rows. Rows are counted
+def least_hashes(rows: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """`limit` rows (or all, if there are fewer): of the distinct values of columns those with the least hashes, each value
+    once however often it is repeated. A bounded, repeatable sample spread over all values. Their number is estimated
     first and only about as many as are wanted reach the ordering, so tasks do not each send a full sample."""
-    n = rows.count()
-    h = F.xxhash64(key)
+    h = F.xxhash64(*columns)
+    n = rows.agg(F.approx_count_distinct(h)).first()[0]
     if n > 2 * limit:
         span = 1 << 63
         rows = rows.filter(h < F.lit(int(-span + 2 * span * min(1.0, 1.5 * limit / n))))
-    return rows.orderBy(h, key).limit(limit)
+    return rows.dropDuplicates(columns).orderBy(h, *columns).limit(limit)
 
 
 def parts(df: DataFrame, per: int = 48 << 20) -> int:
@@ -86,6 +109,26 @@ def parts(df: DataFrame, per: int = 48 << 20) -> int:
     return max(least, math.ceil(size / per)) if size < 1 << 58 else least
 
 
+def batches(docs: DataFrame, per: int) -> tuple[DataFrame, int]:
+    """doc_id (null as NO_ID), text (null as empty), batch; and how many batches. A batch holds about `per` bytes of text,
+    as measured, whatever the session's number of partitions; LEAST batches at least. Rows are dealt by a hash of
+    doc_id and text, so rows that share a doc_id, or have none, are spread."""
+    rows = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(LEAST, math.ceil(size / per))
+    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n
+
+
+def dealt(rows: DataFrame, n: int, key: str = "batch"):
+    """rows grouped by key, which has n values. Few large groups dealt to about as many partitions would often meet in one
+    task, so there are four partitions for each group, up to 20,000."""
+    return rows.repartition(max(1, min(4 * n, 20_000)), key).groupBy(key)
+
+
+def by_id(table: pa.Table) -> pa.Table:
+    return table.select(["doc_id", "text"]).sort_by("doc_id")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long, so an Arrow batch holds few rows and few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

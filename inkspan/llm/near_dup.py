@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, mix, parts, rows_of, small_batches, span_hashes, steps, word_spans
+from .common import LOWER, NO_ID, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, mix, parts, rows_of, small_batches, span_hashes, steps, word_spans
 
 BINS = 96
 BAND = 4
 #: Members of a bucket that are compared in one group; two such blocks make the largest.
 BLOCK = 1024
-NO_ID = (1 << 63) - 1
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

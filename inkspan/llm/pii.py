@@ -163,7 +163,7 @@ def label(x: Column, base: Column, failed: Column) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[boosting.Model, float]:
     """docs: doc_id, text. The trees and their threshold."""
-    ids = least_hashes(docs.select("doc_id"), "doc_id", sample)  # short rows only
+    ids = least_hashes(docs.select("doc_id"), ["doc_id"], sample)  # short rows only
     some = docs.join(ids, "doc_id", "left_semi")
     base = base_spans(F.col("text"))
     rows = some.withColumn("base", F.concat(*base.values())).withColumn("failed", F.concat(*[F.filter(find(F.col("text"), k, PATTERNS[k], NEEDS[k]), _failing(k)) for k in KINDS]))

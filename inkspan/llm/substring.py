@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, cover, cut, gram_hashes, id_text, inner_starts, pack, parts, rows_of, small_batches, span_hashes, steps, unpack, word_spans
+from .common import NO_ID, NOT_SPACE, batches, by_id, cover, cut, gram_hashes, inner_starts, pack, rows_of, small_batches, span_hashes, steps, unpack, word_spans
 
 WINDOW = 13
-NO_ID = (1 << 63) - 1
 #: Hashed prefixes that are counted for each length; this bounds the table that is sent to the driver and back.
 BUCKETS = 1 << 13
-#: Compressed bytes of input for each batch.
-BATCH = 6 << 20
+#: Bytes of text in a batch.
+BATCH = 12 << 20
 
 
 def levels(window: int) -> list[int]:
@@ -45,17 +44,6 @@ def levels(window: int) -> list[int]:
     return found
 
 
-def batches(docs: DataFrame, per: int = BATCH) -> tuple[DataFrame, int]:
-    """doc_id, text, batch; and how many batches."""
-    rows = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    n = parts(rows, per)
-    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n))), n
-
-
-def by_id(table: pa.Table) -> pa.Table:
-    return table.select(["doc_id", "text"]).sort_by("doc_id")
-
-
 def _buckets(prefix: np.ndarray) -> np.ndarray:
     return (prefix >> np.uint64(64 - 13)).astype(np.int64)
 
@@ -171,7 +159,7 @@ def shared_windows(rows: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     small_batches(docs.sparkSession)
-    rows, n = batches(docs)
+    rows, n = batches(docs, BATCH)
     found = shared_windows(rows, n, window)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, _VALUES, _upto, cut, mix, pack, small_batches, span_hashes, steps, unpack
-from .substring import NO_ID, batches, by_id
+from .common import NO_ID, STEP, _VALUES, _upto, batches, by_id, cut, mix, pack, small_batches, span_hashes, steps, unpack
 
 LENGTH = 100
+#: Bytes of text in a batch.
+BATCH = 12 << 20
 ANCHOR = 32
 SPREAD = LENGTH - ANCHOR + 1  # anchors a window can have
 
@@ -311,7 +312,7 @@ def _split(prints: np.ndarray, size: np.ndarray, limit: int = 2 * STEP):
 def dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the other bytes)."""
     small_batches(docs.sparkSession)
-    rows, n = batches(docs)
+    rows, n = batches(docs, BATCH)
     bins = 3 * n
     shared = shared_anchors(rows, bins)
     spans = earlier_spans(rows, shared, bins)

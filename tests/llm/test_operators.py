@@ -10,7 +10,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
-from inkspan.llm import boosting, decontamination, mixing, near_dup, pii, ppm, quality, queries, substring, suffix_array, token_output, urls
+from inkspan.llm import boosting, common, decontamination, mixing, near_dup, pii, ppm, quality, queries, substring, suffix_array, token_output, urls
 from pyspark.sql import functions as F
 
 CLASH = "doc_id long, text string, source string, lang string, batch long, bin int, n_words long, size long, bucket string, shard string, component long, d2 double, gram long, node long"
@@ -179,11 +179,30 @@ def test_pii_redacts(spark):
     assert got == {1: "mail <email> now", 2: "", 3: "é <phone>."}
 
 
-def test_ppm(df, docs, empty):
-    got = rows(ppm.score(df, 3), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    for a, b in zip(got, brute.op5(docs, 3), strict=True):
+@pytest.mark.parametrize("order", [3, ppm.ORDER])
+def test_ppm(spark, df, docs, empty, order):
+    got = rows(ppm.score(df, order), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for a, b in zip(got, brute.op5(docs, order), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
-    assert ppm.score(empty).count() == 0
+    assert ppm.score(empty, order).count() == 0
+
+
+def test_ppm_repeated_rows_and_null_ids(spark):
+    mine = [(5, "abc abd"), (5, "abc abd"), (5, "xyz"), (None, "abc"), (None, "q r"), (8, None)]
+    got = rows(ppm.score(frame(spark, mine)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want = sorted(brute.op5([("null" if i is None else i, t) for i, t in mine], ppm.ORDER), key=lambda r: (r[0] == "null", r[0], *r[1:]))
+    for a, b in zip(got, want, strict=True):
+        assert (a[0] if a[0] is not None else "null", *a[1:5]) == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
+def test_batches_do_not_follow_the_session(spark, df):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "211")
+        assert common.batches(df, 1 << 20)[1] == common.LEAST
+        assert common.batches(df, 1000)[1] > 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_urls(spark):
