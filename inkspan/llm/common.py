@@ -262,7 +262,7 @@ def inner_starts(bounds: np.ndarray, n: int) -> np.ndarray:
 
 def pack(a: np.ndarray) -> bytes:
     """Fixed-width integers, plane by plane, so that a shuffle's compression finds the planes that hardly change."""
-    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:

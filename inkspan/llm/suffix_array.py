@@ -1,25 +1,27 @@
 """Suffix-array dedup over bytes with a run-length index.
 
-A match is a string of LENGTH bytes that also starts earlier (in a smaller document, or in the same one before).
-
-Which places can match at all is found first, by winnowing: each window of LENGTH bytes has an anchor, the leftmost
-of its ANCHOR-byte strings with the least hash, so equal windows have equal anchors at equal places. Batches of
-documents send their anchors' fingerprints, and learn which occur elsewhere. For each anchor that occurs twice or
-more, a batch then sends its contexts: the bytes of all windows that have this anchor, each distinct one once, with
-the first place that has it. A context that is alike to the last byte to an earlier one is removed whole.
-
-The contexts that remain for an anchor differ: edges of shared passages, edits in near copies. Their text is
-repetitive, and a bin of anchors gets one run-length index over it: the suffix array is built once, and kept of it are
-the Burrows-Wheeler transform's runs, samples at run ends, the rows at which windows of LENGTH bytes begin to differ, and for each of
-those intervals its earliest place. Every context is then streamed through the index backwards, from its end
-by LF steps on the runs; each step gives the row of one more suffix and so its longest match, cut at LENGTH, and a
-window whose interval has an earlier place is marked.
-
-Batches are cut by a hash of doc_id; anchors are dealt by fingerprint. A group of copies, however large, arrives at an
-anchor's bin once for each batch.
-
-Null text: no bytes. Null doc_id: later than all others. Rows that share a doc_id count as one document in which only a
-smaller start is earlier. Texts shorter than LENGTH keep all. Other columns do not matter. Empty table: empty result.
+A match is a string of LENGTH bytes that also starts earlier: in a document with a smaller doc_id, or in the same document
+before.
+
+Which places can match at all is found first, by winnowing: each window of LENGTH bytes has an anchor, the leftmost of its
+ANCHOR-byte strings with the least hash, so equal windows have equal anchors at equal places. Batches of documents send their
+anchors' fingerprints, and learn which occur elsewhere. For each anchor that occurs twice or more, a batch then sends its
+contexts: the bytes of all windows that have this anchor, with their place. Contexts that are alike to the last byte (hashes
+propose it, the bytes confirm it) are settled on the spot: only those without an earlier copy go on.
+
+The contexts that remain for an anchor differ: edges of shared passages, edits in near copies. They are put in order of their
+places and halved again and again: of each half-and-half the earlier contexts are indexed and the later ones streamed, so each
+pair of an earlier and a later context meets once. The index (RunIndex) is a run-compressed Burrows-Wheeler transform with the
+text places of each run's two ends. A context streams through it from its last byte to its first and carries its matching
+statistics: row, one place of the longest match, and its length. Where the row's run has the next byte, an LF step makes the
+match longer; else it moves to the nearer ends of the runs of that byte above and below, and keeps as much of the match as the
+sampled place there shares with the old one. A window whose match reaches LENGTH is marked.
+
+An anchor with more than HOT different contexts sends single windows in their place, dealt by a hash of the window's bytes: each
+batch sends a window once, so what meets in a task grows with the batches and not with the copies.
+
+Null text: no bytes. Null doc_id: later than all others. Rows that share a doc_id, or have none, are documents of their own of
+which none is earlier than the other. Texts shorter than LENGTH keep all. Other columns do not matter. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -29,27 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, STEP, _VALUES, _upto, batches, by_id, cut, mix, pack, small_batches, span_hashes, steps, unpack
+from .common import NO_ID, STEP, _VALUES, _upto, batches, cut, dealt, mix, pack, small_batches, span_hashes, steps, tidy, unpack
 
 LENGTH = 100
-#: Bytes of text in a batch.
-BATCH = 12 << 20
 ANCHOR = 32
 SPREAD = LENGTH - ANCHOR + 1  # anchors a window can have
+#: Bytes of text in a batch.
+BATCH = 12 << 20
+#: Different contexts of an anchor, over all batches, from which on its windows are dealt one by one.
+HOT = 50_000
+#: Symbols that one index holds.
+INDEXED = 1 << 20
+#: Bits of a symbol (a byte or a separator), and symbols in the first sort key.
+BITS, FIRST = 9, 5
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows of one row with one anchor: (row, first window, last window, anchor fingerprint);
-    windows are named by the place of their first byte in data."""
+def anchors(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with one anchor: (first window, last window, anchor fingerprint). Windows are named by the place
+    of their first byte in data; none crosses an edge."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64)
     up, down = _upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
     h = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(data) - ANCHOR + 1])
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    low = key
+    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while width * 2 <= SPREAD:
         low = np.minimum(low[:-width], low[width:])
@@ -57,155 +64,136 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if width < SPREAD:
         low = np.minimum(low[: -(SPREAD - width)], low[SPREAD - width :])
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the anchor of the window at each byte
-    whole = np.ones(len(place), bool)  # windows that lie in one row
     d = np.zeros(len(place) + 1, np.int32)
-    edge = off[1:-1]
-    edge = edge[(edge > 0) & (edge < len(data))]
-    np.add.at(d, np.clip(edge - LENGTH + 1, 0, len(place)), 1)
-    np.add.at(d, np.clip(edge, 0, len(place)), -1)
-    whole = np.cumsum(d[:-1]) == 0
-    at = np.flatnonzero(whole)
+    np.add.at(d, np.clip(edges - LENGTH + 1, 0, len(place)), 1)
+    np.add.at(d, np.clip(edges, 0, len(place)), -1)
+    at = np.flatnonzero(np.cumsum(d[:-1]) == 0)  # windows that lie in one row
     if not len(at):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64)
     new = np.ones(len(at), bool)
     new[1:] = (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)
     first = at[new]
     last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-    row = np.searchsorted(off, first, "right") - 1
-    return row, first, last, h[place[first]]
+    return first, last, h[place[first]]
 
 
 class RunIndex:
-    """A run-length Burrows-Wheeler index over contexts, which must all differ."""
+    """A run-compressed Burrows-Wheeler index over contexts, each in a group of its own choice; a query sees its group only."""
 
-    def __init__(self, data: np.ndarray, size: np.ndarray, length: int = LENGTH):
-        """data: the contexts' bytes on end; size: their lengths, in order of their places."""
-        m = len(size)
-        self.size = size
-        ends = np.cumsum(size + 1) - 1  # separators
+    def __init__(self, data: np.ndarray, size: np.ndarray, group: np.ndarray):
+        """data: the contexts' bytes on end; size: their lengths; group: small numbers."""
+        ends = np.cumsum(size + 1) - 1  # separators, which differ by their place
         n = int(ends[-1]) + 1
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = data.astype(np.int64) + 1
-        rank, depth = self._first_ranks(text, ends)
-        mid = None
-        while depth < 2 * length:
-            if depth * 2 >= length and mid is None:
-                mid, mid_depth = rank, depth
+        of = np.repeat(group, size + 1)
+        self.ranks: list[tuple[int, np.ndarray]] = []  # by the first 5, 10, 20, ... symbols
+        rank, depth = self._first_ranks(text, ends, of), FIRST
+        while True:
+            self.ranks.append((depth, rank.astype(np.int32)))
+            if int(rank.max()) == n - 1:
+                break
             follow = np.zeros(n, np.int64)
             follow[:-depth] = rank[depth:] + 1
-            order = np.argsort(rank * (n + 1) + follow, kind="stable")
-            step = (rank[order[1:]] != rank[order[:-1]]) | (follow[order[1:]] != follow[order[:-1]])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(step)))
-            depth *= 2
-        sa = np.argsort(rank, kind="stable")
-        # rows that begin an interval of suffixes with the same first `length` symbols
-        late = np.full(n, -1, np.int64)
-        late[: n - (length - mid_depth)] = mid[length - mid_depth :]
-        begin = np.ones(n, bool)
-        begin[1:] = (mid[sa[1:]] != mid[sa[:-1]]) | (late[sa[1:]] != late[sa[:-1]])
-        self.begin = np.flatnonzero(begin)
-        self.earliest = np.minimum.reduceat(sa, self.begin)
-        bwt = text[sa - 1]
+            rank, depth = _dense(rank * (n + 1) + follow), 2 * depth
+        sa = np.empty(n, np.int64)
+        sa[rank] = np.arange(n)
+        bwt = text[sa - 1] + (of[sa - 1] << BITS)  # symbols of two groups differ
         head = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
-        self.run = head
-        self.symbol = bwt[head]
-        run_size = np.diff(np.append(head, n))
-        self.sample = sa[head + run_size - 1]
-        by_symbol = np.argsort(self.symbol, kind="stable")
-        base = np.empty(len(head), np.int64)
-        base[by_symbol] = np.cumsum(run_size[by_symbol]) - run_size[by_symbol]
-        self.lf = base - head  # LF(row) = row + lf[its run]
-        self.entry = rank[ends]
-        self.ends = ends
-        self.length = length
+        tail = np.append(head[1:], n) - 1
+        self.text, self.rows, self.run, self.tail = text, n, head, tail
+        self.first, self.last = sa[head], sa[tail]  # text places of the runs' ends
+        runs = len(head)
+        key = bwt[head] * runs + np.arange(runs)
+        order = np.argsort(key)
+        self.key = key[order]  # runs by symbol, then by row
+        lens = (tail - head + 1)[order]
+        self.to = np.cumsum(lens) - lens  # LF of a run's first row
+        self.by = order
 
     @staticmethod
-    def _first_ranks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
-        """Ranks by the first 7 symbols; separators differ by their place."""
+    def _first_ranks(text: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Ranks by group and the first symbols; a separator among them tells by its place."""
         n = len(text)
-        key = np.zeros(n, np.int64)
-        live = np.ones(n, bool)
-        for j in range(7):
+        key, live = of.copy(), np.ones(n, bool)
+        for j in range(FIRST):
             symbol = np.zeros(n, np.int64)
             symbol[: n - j] = text[j:]
-            key = (key << 9) | np.where(live, symbol, 0)
+            key = (key << BITS) | np.where(live, symbol, 0)
             live &= symbol > 0
         which = np.where(live, 0, 1 + np.searchsorted(ends, np.arange(n)))
-        order = np.lexsort((which, key))
-        step = (key[order[1:]] != key[order[:-1]]) | (which[order[1:]] != which[order[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(step)))
-        return rank, 7
-
-    def stream(self) -> np.ndarray:
-        """For each context, on end: True where a window starts that an earlier place has too."""
-        begin = np.cumsum(self.size) - self.size
-        found = np.zeros(int(self.size.sum()), bool)
-        live = np.arange(len(self.size))
-        row = self.entry.copy()
-        for left in range(1, int(self.size.max()) + 1):  # bytes streamed so far
-            live = live[self.size[live] >= left]
-            k = np.searchsorted(self.run, row[live], "right") - 1
-            row[live] += self.lf[k]
-            if left >= self.length:
-                first = self.earliest[np.searchsorted(self.begin, row[live], "right") - 1]
-                place = self.ends[live] - left
-                late = first < place
-                found[(begin[live] + self.size[live] - left)[late]] = True
-        return found
-
-
-def _batch_anchors(table: pa.Table):
-    """Steps of a batch in ascending doc_id order: (doc_id of each run, place of first and last window in its text,
-    fingerprint, context hash, bytes, begin and end in bytes)."""
-    ids = table["doc_id"].to_numpy()
-    for row, data, off in steps(table["text"], STEP):
-        r, first, last, print_ = anchors(data, off)
-        yield ids[row + r], first - off[r], last - off[r], print_, span_hashes(data, first, last + LENGTH), data, first, last + LENGTH
-
-
-def shared_anchors(rows: DataFrame, bins: int) -> DataFrame:
-    """batch, prints: packed fingerprints of the batch's anchors that occur in another batch too."""
-
-    def send(table: pa.Table) -> pa.Table:
-        me, out = table["batch"][0].as_py(), {"bin": [], "batch": [], "prints": []}
-        found = [np.unique(x[3]) for x in _batch_anchors(by_id(table))]
-        if found and len(found := np.unique(np.concatenate(found))):
-            where = (found % np.uint64(bins)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            found, where = found[order], where[order]
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(where) > 0, [True])))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                out["bin"].append(int(where[a]))
-                out["batch"].append(me)
-                out["prints"].append(pack(found[a:b]))
-        return pa.table(out, pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary())]))
-
-    def answer(table: pa.Table) -> pa.Table:
-        prints = [unpack(x, np.uint64) for x in table["prints"].to_pylist()]
-        sender = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
-        every = np.concatenate(prints)
-        order = np.argsort(every, kind="stable")
-        same = every[order[1:]] == every[order[:-1]]
-        twice = np.zeros(len(order), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        twice = np.sort(order[twice])
-        names, out = table["batch"].to_pylist(), {"batch": [], "prints": []}
-        for k in np.unique(sender[twice]):
-            out["batch"].append(names[k])
-            out["prints"].append(pack(every[twice[sender[twice] == k]]))
-        return pa.table(out, pa.schema([("batch", pa.int64()), ("prints", pa.binary())]))
-
-    sent = rows.groupBy("batch").applyInArrow(send, "bin int, batch long, prints binary")
-    return cut(sent.groupBy("bin").applyInArrow(answer, "batch long, prints binary"), "anchors")
-
-
-CONTEXTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-SPANS = pa.schema([("batch", pa.int64()), ("docs", pa.binary()), ("from", pa.binary()), ("to", pa.binary())])
+        return _dense(_dense(key) * (len(ends) + 2) + which)
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many symbols the texts at a and b have in common, up to a separator."""
+        off = np.zeros(len(a), np.int64)
+        for depth, rank in reversed(self.ranks):
+            x, y = np.minimum(a + off, self.rows - 1), np.minimum(b + off, self.rows - 1)
+            off += depth * (rank[x] == rank[y])
+        like = np.ones(len(a), bool)
+        for _ in range(FIRST - 1):
+            x = self.text[np.minimum(a + off, self.rows - 1)]
+            like &= (x > 0) & (x == self.text[np.minimum(b + off, self.rows - 1)])
+            off += like
+        return off
+
+    def statistics(self, data: np.ndarray, size: np.ndarray, group: np.ndarray, least: int):
+        """Streams contexts (as in __init__) all at once from their last byte to their first. Yields (context, byte in it,
+        length) of the longest matches that start there, as long as one of `least` bytes can still come."""
+        begin = np.cumsum(size) - size
+        who = np.arange(len(size))
+        row, place, match = (np.zeros(len(size), np.int64) for _ in range(3))
+        place += self.first[0]
+        high = (group << BITS) + 1
+        runs = len(self.run)
+        for back in range(1, int(size.max()) + 1):
+            live = (size[who] >= back) & (match + size[who] - back + 1 >= least)  # each step adds one byte at most
+            if not live.all():
+                who, row, place, match = who[live], row[live], place[live], match[live]
+            if not len(who):
+                return
+            at = size[who] - back
+            symbol = high[who] + data[begin[who] + at]
+            k = np.searchsorted(self.run, row, "right") - 1
+            want = symbol * runs + k
+            i = np.searchsorted(self.key, want)
+            i_in = np.minimum(i, runs - 1)
+            same = self.key[i_in] == want
+            go = i_in  # the entry whose run is entered
+            inside = row - self.run[k]
+            match = match + 1
+            other = np.flatnonzero(~same)
+            if len(other):
+                up, down = i[other] - 1, i_in[other]
+                has_up = (up >= 0) & (self.key[up] // runs == symbol[other])
+                has_down = (i[other] < runs) & (self.key[down] // runs == symbol[other])
+                was, old = match[other] - 1, place[other]
+                kept_up, kept_down = np.full(len(other), -1), np.full(len(other), -1)
+                kept_up[has_up] = np.minimum(was[has_up], self.shared(old[has_up], self.last[self.by[up[has_up]]]))
+                kept_down[has_down] = np.minimum(was[has_down], self.shared(old[has_down], self.first[self.by[down[has_down]]]))
+                above = kept_up >= kept_down
+                take = np.where(above, up, down)
+                run = self.by[take]
+                inside[other] = np.where(above, self.tail[run] - self.run[run], 0)
+                go[other] = take
+                kept = np.maximum(kept_up, kept_down)  # -1: the byte is nowhere in the group, and row and place stay
+                place[other] = np.where(kept < 0, old, np.where(above, self.last[run], self.first[run]))
+                match[other] = kept + 1
+            ok = match > 0
+            row = np.where(ok, self.to[go] + inside, row)
+            place = np.where(ok, place - 1, place)
+            yield who, at, match
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys; equal keys have equal ranks."""
+    order = np.argsort(key)
+    s = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
+    return rank
 
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -213,83 +201,272 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
 
 
-def earlier_spans(rows: DataFrame, shared: DataFrame, bins: int) -> DataFrame:
-    """batch, docs, from, to: packed byte ranges that an earlier place of the corpus has too, found across batches
-    and among differing contexts; contexts repeated within one batch are left to the batch."""
+def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are the same bytes."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo] - size[lo]) + STEP, "right")))
+        s = size[lo:hi]
+        unlike = _gather(data, a[lo:hi], s) != _gather(data, b[lo:hi], s)
+        out[lo:hi] = ~np.logical_or.reduceat(unlike, np.cumsum(s) - s)
+        lo = hi
+    return out
+
+
+def classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The class of each byte string; strings of a class are the same. h: hashes, alike for like strings."""
+    out, todo, used = np.zeros(len(begin), np.int64), np.arange(len(begin)), 0
+    while len(todo):
+        _, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
+        head = todo[first[which]]
+        same = size[head] == size[todo]
+        copy = np.flatnonzero(same & (head != todo))
+        same[copy] = _alike(data, begin[head[copy]], begin[todo[copy]], size[todo[copy]])
+        out[todo[same]] = used + which[same]
+        used += len(first)
+        todo = todo[~same]  # others that share a hash
+    return out
+
+
+def first_places(cls: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True for those of a class that none is earlier than: in its least doc_id, the first of each row."""
+    out = np.zeros(len(cls), bool)
+    order = np.lexsort((start, row, doc, cls))
+    c, d, r = cls[order], doc[order], row[order]
+    new = np.ones(len(c), bool)
+    new[1:] = c[1:] != c[:-1]
+    alone = new.copy()
+    alone[1:] |= (r[1:] != r[:-1]) | (d[1:] != d[:-1])
+    least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
+    out[order[alone & (d == least)]] = True
+    return out
+
+
+class Contexts:
+    """The contexts of a batch: rows in order of doc_id and text, their bytes on end, and for each context its row, place in
+    the bytes, size, start in its row, anchor, class, and whether it has no earlier copy in the batch."""
+
+    def __init__(self, table: pa.Table):
+        table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        self.table, self.ids = table, table["doc_id"].to_numpy()
+        col = table["text"].combine_chunks().cast(pa.large_binary()) if table.num_rows else pa.array([], pa.large_binary())
+        if isinstance(col, pa.ChunkedArray):
+            col = col.chunk(0)
+        _, off, data = col.buffers()
+        self.off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.data = data[self.off[0] : self.off[-1]]
+        self.off = self.off - self.off[0]
+        found = []
+        for a in range(0, len(self.data), STEP):  # windows that start in a step; they may end in the next
+            piece = self.data[a : a + STEP + LENGTH - 1]
+            lo, hi = np.searchsorted(self.off, [a, a + len(piece)], "right")
+            first, last, print_ = anchors(piece, self.off[lo:hi] - a)
+            found.append((first + a, last - first + LENGTH, print_, span_hashes(piece, first, last + LENGTH)))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        self.begin, self.size, self.print, h = (np.concatenate(x) for x in zip(*(found or [none])))
+        self.row = np.searchsorted(self.off, self.begin, "right") - 1
+        self.start = self.begin - self.off[self.row]
+        self.cls = classes(self.data, self.begin, self.size, h)
+        self.open = first_places(self.cls, self.ids[self.row], self.row, self.start)
+
+
+def _packets(where: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bin, members in their order) for each bin that has any."""
+    order = np.argsort(where, kind="stable")
+    s = where[order]
+    cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
+    return [(int(s[a]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+PRINTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
+SHARED = pa.schema([("batch", pa.int64()), ("prints", pa.binary()), ("hot", pa.binary())])
+CONTEXTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("settled", pa.binary())])
+SPANS = pa.schema([("batch", pa.int64()), ("spans", pa.binary())])
+DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {DDL[f.type]}" for f in schema)
+
+
+def shared_anchors(rows: DataFrame, n: int, bins: int, hot: int) -> DataFrame:
+    """batch, prints, hot: packed fingerprints of the batch's anchors that occur in another batch too; and of those with more
+    than `hot` contexts over all."""
+
+    def send(table: pa.Table) -> pa.Table:
+        me, c = table["batch"][0].as_py(), Contexts(table)
+        print_, count = np.unique(c.print[c.open], return_counts=True)
+        out = {f.name: [] for f in PRINTS}
+        for where, mine in _packets((print_ % np.uint64(bins)).astype(np.int64)):
+            for name, x in (("bin", where), ("batch", me), ("prints", pack(print_[mine])), ("counts", pack(count[mine].astype(np.int32)))):
+                out[name].append(x)
+        tidy()
+        return pa.table(out, PRINTS)
+
+    def answer(table: pa.Table) -> pa.Table:
+        prints = [unpack(x, np.uint64) for x in table["prints"].to_pylist()]
+        every, counts = np.concatenate(prints), np.concatenate([unpack(x, np.int32) for x in table["counts"].to_pylist()])
+        _, which, senders = np.unique(every, return_inverse=True, return_counts=True)
+        many = np.bincount(which, counts)[which] > hot
+        twice = (senders[which] > 1) | many
+        out, at = {f.name: [] for f in SHARED}, 0
+        for batch, mine in zip(table["batch"].to_pylist(), prints):
+            t, m = twice[at : at + len(mine)], many[at : at + len(mine)]
+            at += len(mine)
+            if t.any():
+                for name, x in (("batch", batch), ("prints", pack(mine[t])), ("hot", pack(mine[m]))):
+                    out[name].append(x)
+        return pa.table(out, SHARED)
+
+    sent = dealt(rows, n).applyInArrow(send, _ddl(PRINTS))
+    return cut(dealt(sent, bins, "bin").applyInArrow(answer, _ddl(SHARED)), "anchors")
+
+
+def earlier_spans(rows: DataFrame, n: int, shared: DataFrame, bins: int) -> DataFrame:
+    """batch, spans: packed (row of the batch, from, to) of byte ranges that an earlier place of the corpus has too, found across
+    batches and among differing contexts; whole contexts repeated within one batch are left to the batch."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {f.name: [] for f in CONTEXTS}
         if not left.num_rows:
             return pa.table(out, CONTEXTS)
-        me = left["batch"][0].as_py()
-        asked = [unpack(x, np.uint64) for x in right["prints"].to_pylist()]
-        asked = np.concatenate(asked) if asked else np.zeros(0, np.uint64)
-        found = list(_batch_anchors(by_id(left)))
-        if not found:
-            return pa.table(out, CONTEXTS)
-        docs, starts, prints, text = (np.concatenate([x[k] for x in found]) for k in (0, 1, 3, 4))
-        size = np.concatenate([x[7] - x[6] for x in found])
-        step = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-        begin = np.concatenate([x[6] for x in found])
-        _, first = np.unique(text, return_index=True)  # each distinct context where it stands first
-        once, n = np.unique(prints[first], return_counts=True)
-        keep = np.isin(prints[first], asked) | np.isin(prints[first], once[n > 1])
-        first = np.sort(first[keep])
-        where = (prints[first] % np.uint64(bins)).astype(np.int64)
-        first = first[np.argsort(where, kind="stable")]
-        where = np.sort(where, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(where) > 0, [True]))) if len(where) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            mine = first[a:b]
-            raw = b"".join(_gather(found[k][5], begin[own := mine[step[mine] == k]], size[own]).tobytes() for k in np.unique(step[mine]))
-            for name, x in (("bin", int(where[a])), ("batch", me), ("prints", pack(prints[mine])), ("docs", pack(docs[mine])), ("starts", pack(starts[mine])), ("sizes", pack(size[mine].astype(np.int32))), ("bytes", raw)):
+        me, c = left["batch"][0].as_py(), Contexts(left)
+        asked, hot = (np.concatenate([unpack(x, np.uint64) for x in right[k].to_pylist()] or [np.zeros(0, np.uint64)]) for k in ("prints", "hot"))
+        mine = np.flatnonzero(c.open)
+        once, count = np.unique(c.print[mine], return_counts=True)
+        mine = mine[np.isin(c.print[mine], asked) | np.isin(c.print[mine], once[count > 1])]
+        spread = np.isin(c.print[mine], hot)
+        begin, size, print_, row = (x[mine[~spread]] for x in (c.begin, c.size, c.print, c.row))
+        settled = np.zeros((0, 3), np.int64)
+        if spread.any():
+            wide = mine[spread]
+            count = c.size[wide] - LENGTH + 1
+            b = np.arange(int(count.sum())) + np.repeat(c.begin[wide] - (np.cumsum(count) - count), count)
+            r, s = np.repeat(c.row[wide], count), np.full(len(b), LENGTH)
+            h = _hash_long(c.data, b, s)
+            open_ = first_places(classes(c.data, b, s, h), c.ids[r], r, b)
+            start = (b - c.off[r])[~open_]
+            settled = np.stack((r[~open_], start, start + LENGTH), axis=1)
+            begin, size, print_, row = (np.concatenate(x) for x in ((begin, b[open_]), (size, s[open_]), (print_, h[open_]), (row, r[open_])))
+        order = np.lexsort((begin, row))
+        begin, size, print_, row = begin[order], size[order], print_[order], row[order]
+        packets = _packets((print_ % np.uint64(bins)).astype(np.int64))
+        for where, k in packets or ([(me % bins, order[:0])] if len(settled) else []):
+            for name, x in (
+                ("bin", where), ("batch", me), ("prints", pack(print_[k])), ("docs", pack(c.ids[row[k]])), ("rows", pack(row[k].astype(np.int32))), ("starts", pack(begin[k] - c.off[row[k]])), ("sizes", pack(size[k].astype(np.int32))),
+                ("bytes", _gather(c.data, begin[k], size[k]).tobytes()), ("settled", settled.tobytes()),
+            ):
                 out[name].append(x)
+            settled = settled[:0]
+        tidy()
         return pa.table(out, CONTEXTS)
 
     def match(table: pa.Table) -> pa.Table:
-        got = {k: [unpack(x, kind) for x in table[k].to_pylist()] for k, kind in (("prints", np.uint64), ("docs", np.int64), ("starts", np.int64), ("sizes", np.int32))}
+        got = {k: [unpack(x, kind) for x in table[k].to_pylist()] for k, kind in (("prints", np.uint64), ("docs", np.int64), ("rows", np.int32), ("starts", np.int64), ("sizes", np.int32))}
         sender = np.repeat(np.arange(table.num_rows), [len(x) for x in got["prints"]])
-        prints, docs, starts, size = (np.concatenate(got[k]) for k in ("prints", "docs", "starts", "sizes"))
-        size = size.astype(np.int64)
+        print_, doc, row, start, size = (np.concatenate(got[k]) for k in ("prints", "docs", "rows", "starts", "sizes"))
+        size, row = size.astype(np.int64), row.astype(np.int64)
+        owner = (sender << 32) | row  # a row of the corpus
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
         begin = np.cumsum(size) - size
-        text = _hash_long(data, begin, size)
-        order = np.lexsort((starts, docs, text))
-        new = np.concatenate(([True], text[order[1:]] != text[order[:-1]]))
-        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest place of the same bytes
-        copy = order[(docs[head] != docs[order]) | (starts[head] != starts[order])]
-        hits = [(copy, starts[copy], starts[copy] + size[copy])]
-        own = order[new]
-        group, n = np.unique(prints[own], return_counts=True)
-        own = own[np.isin(prints[own], group[n > 1])]
-        if len(own):
-            own = own[np.lexsort((starts[own], docs[own]))]
-            # an index for each few MB of contexts; an anchor's contexts stay together
-            for part in _split(prints[own], size[own]):
-                mine = own[part]
-                late = RunIndex(_gather(data, begin[mine], size[mine]), size[mine]).stream()
-                at = np.flatnonzero(late)
-                ctx = np.searchsorted(np.cumsum(size[mine]), at, "right")
-                place = starts[mine[ctx]] + at - (np.cumsum(size[mine]) - size[mine])[ctx]
-                if len(at):
-                    new_run = np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (place[1:] != place[:-1] + 1)))
-                    a = np.flatnonzero(new_run)
-                    b = np.append(a[1:], len(at)) - 1
-                    hits.append((mine[ctx[a]], place[a], place[b] + LENGTH))
-        which, begin_, end_ = (np.concatenate([h[k] for h in hits]) for k in range(3))
-        names, out = table["batch"].to_pylist(), {"batch": [], "docs": [], "from": [], "to": []}
-        for k in np.unique(sender[which]):
-            mine = sender[which] == k
-            for name, x in (("batch", names[k]), ("docs", pack(docs[which[mine]])), ("from", pack(begin_[mine])), ("to", pack(end_[mine]))):
-                out[name].append(x)
+        open_ = first_places(classes(data, begin, size, _hash_long(data, begin, size)), doc, owner, start)
+        copy = np.flatnonzero(~open_)
+        hits = [(copy, start[copy], start[copy] + size[copy])]
+        own = np.flatnonzero(open_)
+        _, which, count = np.unique(print_[own], return_inverse=True, return_counts=True)
+        own, which = own[count[which] > 1], which[count[which] > 1]
+        order = np.lexsort((start[own], owner[own], doc[own], which))
+        own, which = own[order], which[order]
+        for ctx, at in late_windows(data, begin[own], size[own], which, doc[own], owner[own]):
+            place = start[own[ctx]] + at
+            hits.append((own[ctx], place, place + LENGTH))
+        who, lo, hi = _joined(*(np.concatenate([h[k] for h in hits]) for k in range(3)))
+        out = {"batch": [], "spans": []}
+        by = sender[who]
+        for k, (batch, done) in enumerate(zip(table["batch"].to_pylist(), table["settled"].to_pylist())):
+            mine = by == k
+            if mine.any() or done:
+                out["batch"].append(batch)
+                out["spans"].append(np.stack((row[who[mine]], lo[mine], hi[mine]), axis=1).tobytes() + done)
+        tidy()
         return pa.table(out, SPANS)
 
-    sent = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, "bin int, batch long, prints binary, docs binary, starts binary, sizes binary, bytes binary")
-    return cut(sent.groupBy("bin").applyInArrow(match, "batch long, docs binary, from binary, to binary"), "spans")
+    sent = dealt(rows, n).cogroup(dealt(shared, n)).applyInArrow(send, _ddl(CONTEXTS))
+    return cut(dealt(sent, bins, "bin").applyInArrow(match, _ddl(SPANS)), "spans")
+
+
+def _joined(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of one owner that overlap are put together."""
+    order = np.lexsort((lo, who))
+    who, lo, hi = who[order], lo[order], hi[order]
+    if not len(who):
+        return who, lo, hi
+    wide = int(hi.max()) + 1
+    reach = np.maximum.accumulate(hi + who * wide)
+    new = np.concatenate(([True], lo[1:] + who[1:] * wide > reach[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(who)) - 1
+    return who[new], lo[new], reach[last] - who[new] * wide
+
+
+def late_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray, owner: np.ndarray, least: int = LENGTH, indexed: int = INDEXED):
+    """Contexts in order of group, doc, owner and place. Yields (context, byte in it) of windows of `least` bytes that an earlier
+    context of the group has: of a smaller doc, or of the same owner and before."""
+    n = len(begin)
+    if not n:
+        return
+    new_group = np.concatenate(([True], group[1:] != group[:-1]))
+    edge = {"group": new_group}
+    edge["doc"] = edge["group"] | np.concatenate(([True], doc[1:] != doc[:-1]))
+    edge["owner"] = edge["doc"] | np.concatenate(([True], owner[1:] != owner[:-1]))
+    of = {k: np.cumsum(v) - 1 for k, v in edge.items()}
+    first = {k: np.append(np.flatnonzero(v), n) for k, v in edge.items()}
+    lo, hi = first["group"][:-1], first["group"][1:]
+    while True:
+        big = hi - lo > 1
+        lo, hi = lo[big], hi[big]
+        if not len(lo):
+            return
+        mid = (lo + hi) // 2
+
+        def at_edge(kind: str, lo=lo, hi=hi, mid=mid) -> np.ndarray:  # the middle, moved to where a doc or an owner begins
+            k = of[kind][mid]
+            return np.where(first[kind][k] > lo, first[kind][k], first[kind][k + 1])
+
+        docs, owners = of["doc"][lo] != of["doc"][hi - 1], of["owner"][lo] != of["owner"][hi - 1]
+        mid = np.where(docs, at_edge("doc"), np.where(owners, at_edge("owner"), mid))
+        meets = docs | ~owners  # rows that share a doc_id do not see each other
+        yield from _meet(data, begin, size, lo[meets], mid[meets], hi[meets], least, indexed)
+        lo, hi = np.concatenate((lo, mid)), np.concatenate((mid, hi))
+
+
+def _meet(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, least: int, indexed: int):
+    """Indexes contexts lo..mid of each node, in parts of a bounded size, and streams mid..hi through."""
+    count = mid - lo
+    early = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
+    node = np.repeat(np.arange(len(lo)), count)
+    part = np.cumsum(size[early] + 1) // indexed
+    for k in np.unique(part):
+        a, b = np.searchsorted(part, [k, k + 1])
+        base = int(node[a])
+        index = RunIndex(_gather(data, begin[early[a:b]], size[early[a:b]]), size[early[a:b]], node[a:b] - base)
+        nodes = np.arange(base, int(node[b - 1]) + 1)
+        count = hi[nodes] - mid[nodes]
+        late = np.arange(int(count.sum())) + np.repeat(mid[nodes] - (np.cumsum(count) - count), count)
+        of = np.repeat(nodes - base, count)
+        cuts = np.cumsum(size[late]) // (4 * indexed)
+        for c in np.unique(cuts):
+            x, y = np.searchsorted(cuts, [c, c + 1])
+            for who, at, match in index.statistics(_gather(data, begin[late[x:y]], size[late[x:y]]), size[late[x:y]], of[x:y], least):
+                hit = match >= least
+                if hit.any():
+                    yield late[x:y][who[hit]], at[hit]
 
 
 def _hash_long(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """span_hashes in pieces, so that memory stays bounded."""
+    """span_hashes in pieces, so that memory stays bounded. begin ascends."""
     found = np.zeros(len(begin), np.uint64)
     a = 0
     while a < len(begin):
@@ -300,62 +477,44 @@ def _hash_long(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
     return found
 
 
-def _split(prints: np.ndarray, size: np.ndarray, limit: int = 2 * STEP):
-    """Parts of the contexts, in their order, of about limit bytes each; those with one fingerprint stay together."""
-    _, group = np.unique(prints, return_inverse=True)
-    total = np.cumsum(np.bincount(group, weights=size))
-    part = (total // limit).astype(np.int64)[group]
-    for k in np.unique(part):
-        yield np.flatnonzero(part == k)
-
-
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the other bytes)."""
     small_batches(docs.sparkSession)
-    rows, n = batches(docs, BATCH)
+    rows, n = batches(docs, batch)
     bins = 3 * n
-    shared = shared_anchors(rows, bins)
-    spans = earlier_spans(rows, shared, bins)
+    shared = shared_anchors(rows, n, bins, hot)
+    spans = earlier_spans(rows, n, shared, bins)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = by_id(left)
-        ids = table["doc_id"].to_numpy()
-        named = [np.concatenate([unpack(x, np.int64) for x in right[k].to_pylist()] or [np.zeros(0, np.int64)]) for k in ("docs", "from", "to")]
-        found = list(_batch_anchors(table))
-        if found:
-            docs_, starts, last, text = (np.concatenate([x[k] for x in found]) for k in (0, 1, 2, 4))
-            _, first, inverse = np.unique(text, return_index=True, return_inverse=True)
-            later = np.flatnonzero((docs_[first[inverse]] != docs_) | (starts[first[inverse]] != starts))
-            named = [np.concatenate(x) for x in zip(named, (docs_[later], starts[later], last[later] + LENGTH))]
-        order = np.argsort(named[0], kind="stable")
-        doc, begin, end = (x[order] for x in named)
+        c = Contexts(left)
+        done = np.flatnonzero(~c.open)
+        named = np.frombuffer(b"".join(right["spans"].to_pylist()), np.int64).reshape(-1, 3)
+        row, begin, end = (np.concatenate(x) for x in zip(named.T, (c.row[done], c.start[done], c.start[done] + c.size[done])))
+        order = np.argsort(row, kind="stable")
+        row, begin, end = row[order], begin[order], end[order]
+        del done, named
         out = []
-        for row, data, off in steps(table["text"], STEP):
-            my = ids[row : row + len(off) - 1]
-            lo, hi = np.searchsorted(doc, my, "left"), np.searchsorted(doc, my, "right")
-            count = hi - lo
-            pick = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
-            base = np.repeat(off[:-1], count)
-            size = np.repeat(np.diff(off), count)
+        for first, data, off in steps(c.table["text"], STEP):
+            n = len(off) - 1
+            a, b = np.searchsorted(row, [first, first + n])
+            base = off[row[a:b] - first]
             d = np.zeros(len(data) + 1, np.int32)
-            fits = end[pick] <= size  # of rows that share a doc_id, a range belongs to those that reach so far
-            np.add.at(d, (base + begin[pick])[fits], 1)
-            np.add.at(d, (base + end[pick])[fits], -1)
-            gone = np.cumsum(d[:-1]) > 0
-            sums = np.concatenate(([0], np.cumsum(gone)))
+            np.add.at(d, base + begin[a:b], 1)
+            np.add.at(d, base + end[a:b], -1)
+            gone = np.cumsum(d[:-1], dtype=np.int32) > 0
             run = gone.copy()
             run[1:] &= ~gone[:-1]
             edge = off[1:-1][off[1:-1] < len(data)]
             run[edge] = gone[edge]
-            runs = np.concatenate(([0], np.cumsum(run)))
-            kept = data[~gone]
-            n_removed = sums[off[1:]] - sums[off[:-1]]
+            n_removed, n_runs = (np.bincount(np.searchsorted(off, np.flatnonzero(x), "right") - 1, minlength=n) for x in (gone, run))
             ends = np.concatenate(([0], np.cumsum(np.diff(off) - n_removed))).astype(np.int64)
-            whole = pa.Array.from_buffers(pa.large_binary(), len(my), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-            out.append(pa.table([pa.array(my, mask=my == NO_ID), pa.array(np.diff(off)), pa.array(n_removed), pa.array(runs[off[1:]] - runs[off[:-1]]), whole], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]))
+            whole = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~gone].tobytes())]).cast(pa.binary())
+            my = c.ids[first : first + n]
+            out.append(pa.table([pa.array(my, mask=my == NO_ID), pa.array(np.diff(off)), pa.array(n_removed), pa.array(n_runs), whole], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]))
+        tidy()
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return dealt(rows, n).cogroup(dealt(spans, n)).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

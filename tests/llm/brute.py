@@ -118,15 +118,20 @@ def op7(docs, n, percent):
 
 
 def op8(docs, n=100):
-    seen, out = set(), []
-    for i, t in sorted(docs):
+    """Rows that share a doc_id, or have none (last), are documents of their own, of which none is earlier."""
+    first, out = {}, []
+    late = lambda i: (i is None, i or 0)
+    for i, t in docs:
         b = (t or "").encode()
+        for k in range(len(b) - n + 1):
+            first[b[k : k + n]] = min(late(i), first.get(b[k : k + n], late(i)))
+    for i, t in sorted(docs, key=lambda r: (late(r[0]), r[1] or "")):
+        b, seen = (t or "").encode(), set()
         gone = bytearray(len(b))
         for k in range(len(b) - n + 1):
-            if b[k : k + n] in seen:
+            if first[b[k : k + n]] < late(i) or b[k : k + n] in seen:
                 gone[k : k + n] = b"\1" * n
-            else:
-                seen.add(b[k : k + n])
+            seen.add(b[k : k + n])
         runs = sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
         out.append((i, len(b), sum(gone), runs, sha(bytes(c for c, g in zip(b, gone) if not g))))
     return out

@@ -80,25 +80,87 @@ def test_prefix_groups_cover_all():
     assert t[0, 7] == -1 and (t[1] >= 0).all() and set(np.unique(t[t >= 0])) == set(range(6))
 
 
+BYTES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def test_suffix_array(df, docs, empty):
-    assert rows(suffix_array.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op8(docs)
+    assert rows(suffix_array.report(df), *BYTES) == brute.op8(docs)
     assert suffix_array.report(empty).count() == 0
 
 
-def test_run_index_against_plain():
+def test_suffix_array_repeated_rows_and_null_ids(spark):
+    """Texts that occur once stay whole, though other rows have their doc_id, or none has one."""
+    r = random.Random(6)
+    x, y, z, u = ("".join(r.choice("abcdefgh ") for _ in range(k)) for k in (300, 400, 500, 260))
+    mine = [(1, x), (None, x), (None, y), (5, z), (5, x + "q" * 40), (5, x + "q" * 40), (7, z[:200] + u + z[100:]), (9, u + "r" + u), (9, u + "r" + u), (9, "s" + u), (None, "t" + u + x), (None, y)]
+    assert rows(suffix_array.report(frame(spark, mine)), *BYTES) == sorted(brute.op8(mine), key=lambda t: (t[0] is None, t))
+
+
+def near_copies(seed: int, n: int) -> list[tuple[int, str]]:
+    r = random.Random(seed)
+    base, out = [r.choice("abcdefgh ") for _ in range(900)], []
+    for k in range(n):
+        t = list(base)
+        for _ in range(r.choice((1, 2, 5))):
+            t[r.randrange(len(t))] = r.choice("xyz")
+        a = r.randrange(300)
+        out.append((k // 2 if k % 9 == 0 else 1000 + k, "".join(t[a : a + r.randint(150, 600)]) + "".join(r.choice("abc") for _ in range(50))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [3, suffix_array.HOT])
+def test_suffix_array_near_copies(spark, hot):
+    mine = near_copies(4, 60)
+    got = suffix_array.dedup(frame(spark, mine), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    assert rows(got, *BYTES) == sorted(brute.op8(mine))
+
+
+def test_suffix_array_confirms_on_bytes():
+    """Classes are right where all hashes are the same, and contexts are cut at steps like everywhere else."""
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(1, 4))) for _ in range(200)]
+    size = np.array([len(t) for t in texts])
+    data, begin = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum(size) - size
+    for bits in (0, 1, 63):
+        h = np.array([hash(t) & ((1 << bits) - 1) for t in texts], np.uint64)
+        cls = suffix_array.classes(data, begin, size, h)
+        assert all((cls[i] == cls[j]) == (texts[i] == texts[j]) for i in range(200) for j in range(200))
+
+
+@pytest.mark.parametrize("indexed", [40, 300, 1 << 20])
+def test_late_windows_against_plain(indexed):
     r = random.Random(3)
-    base = bytes(r.choice(b"ab") for _ in range(150))
-    ctx = [bytes(base[a : a + r.randint(20, 60)]) for a in (0, 10, 5, 30, 31, 60)]
-    ctx = list(dict.fromkeys(ctx))
-    found = suffix_array.RunIndex(np.frombuffer(b"".join(ctx), np.uint8), np.array([len(c) for c in ctx]), 16).stream()
-    seen, want = set(), []
-    for c in ctx:
-        for k in range(len(c)):
-            w = c[k : k + 16]
-            want.append(len(w) == 16 and w in seen)
-            if len(w) == 16:
-                seen.add(w)
-    assert found.tolist() == want
+    ctx = []
+    for g in range(4):
+        base = bytes(r.choice(b"ab") for _ in range(80))
+        for _ in range(25):
+            a = r.randrange(30)
+            ctx.append((g, r.randrange(6), r.randrange(3), r.randrange(1000), base[a : a + r.randint(16, 50)]))
+    ctx.sort(key=lambda c: c[:4])
+    size = np.array([len(c[4]) for c in ctx])
+    data, begin = np.frombuffer(b"".join(c[4] for c in ctx), np.uint8), np.cumsum(size) - size
+    group, doc, owner = (np.array([c[k] for c in ctx]) for k in (0, 1, 2))
+    got = {(int(c), int(k)) for who, at in suffix_array.late_windows(data, begin, size, group, doc, doc * 10 + owner, 16, indexed) for c, k in zip(who, at)}
+    want = set()
+    for i, (g, d, o, s, b) in enumerate(ctx):
+        before = [c[4] for c in ctx[:i] if c[0] == g and (c[1] < d or c[1:3] == (d, o))]
+        want |= {(i, k) for k in range(len(b) - 15) if any(b[k : k + 16] in c for c in before)}
+    assert got == want and len(want) > 100
+
+
+def test_matching_statistics_against_plain():
+    r = random.Random(8)
+    make = lambda n: bytes(r.choice(b"abc") for _ in range(n))
+    base = make(60)
+    early = [(g, base[:r.randint(1, 60)] + make(r.randint(0, 9)) if g < 2 else make(30)) for g in (0, 0, 0, 1, 1, 2)]
+    late = [(g, make(5) + base[r.randint(0, 20) : 50] + make(5)) for g in (0, 1, 2, 0)] + [(2, b"zzz\0\xff")]
+    flat = lambda x: (np.frombuffer(b"".join(b for _, b in x), np.uint8), np.array([len(b) for _, b in x]), np.array([g for g, _ in x]))
+    index = suffix_array.RunIndex(*flat(early))
+    assert len(index.run) < index.rows
+    got = {(int(w), int(a)): int(m) for who, at, match in index.statistics(*flat(late), least=0) for w, a, m in zip(who, at, match)}
+    for i, (g, b) in enumerate(late):
+        for k in range(len(b)):
+            assert got[i, k] == max(n for n in range(len(b) - k + 1) if any(h == g and b[k : k + n] in x for h, x in early))
 
 
 @pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80)])
