@@ -41,7 +41,9 @@ BATCH = 12 << 20
 #: Different contexts of an anchor, over all batches, from which on its windows are dealt one by one.
 HOT = 50_000
 #: Symbols that one index holds.
-INDEXED = 1 << 20
+INDEXED = 1 << 19
+#: Bytes of text looked through for anchors at a time, so that what is computed stays in the cache.
+PIECE = 1 << 16
 #: Bits of a symbol (a byte or a separator), and symbols in the first sort key.
 BITS, FIRST = 9, 5
 
@@ -90,14 +92,15 @@ class RunIndex:
         text[inside] = data.astype(np.int64) + 1
         of = np.repeat(group, size + 1)
         self.ranks: list[tuple[int, np.ndarray]] = []  # by the first 5, 10, 20, ... symbols
-        rank, depth = self._first_ranks(text, ends, of), FIRST
+        rank, tied = self._first_ranks(text, ends, of)
+        depth = FIRST
         while True:
             self.ranks.append((depth, rank.astype(np.int32)))
-            if int(rank.max()) == n - 1:
+            if not len(tied):
                 break
-            follow = np.zeros(n, np.int64)
-            follow[:-depth] = rank[depth:] + 1
-            rank, depth = _dense(rank * (n + 1) + follow), 2 * depth
+            after = tied + depth  # only what is not told apart yet is sorted again
+            tied = _refine(rank, tied, np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0))
+            depth *= 2
         sa = np.empty(n, np.int64)
         sa[rank] = np.arange(n)
         bwt = text[sa - 1] + (of[sa - 1] << BITS)  # symbols of two groups differ
@@ -114,8 +117,8 @@ class RunIndex:
         self.by = order
 
     @staticmethod
-    def _first_ranks(text: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Ranks by group and the first symbols; a separator among them tells by its place."""
+    def _first_ranks(text: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks by group and the first symbols (a separator among them tells by its place), and who shares one."""
         n = len(text)
         key, live = of.copy(), np.ones(n, bool)
         for j in range(FIRST):
@@ -123,13 +126,19 @@ class RunIndex:
             symbol[: n - j] = text[j:]
             key = (key << BITS) | np.where(live, symbol, 0)
             live &= symbol > 0
-        which = np.where(live, 0, 1 + np.searchsorted(ends, np.arange(n)))
-        return _dense(_dense(key) * (len(ends) + 2) + which)
-
-    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many symbols the texts at a and b have in common, up to a separator."""
+        rank, every = np.zeros(n, np.int64), np.arange(n)
+        tied = _refine(rank, every, key)
+        near = tied[~live[tied]]
+        which = np.zeros(n, np.int64)
+        which[near] = 1 + np.searchsorted(ends, near)
+        return rank, _refine(rank, tied, which[tied])
+
+    def shared(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """How many symbols the texts at a and b have in common, up to a separator; right up to `most`."""
         off = np.zeros(len(a), np.int64)
         for depth, rank in reversed(self.ranks):
+            if depth > most:
+                continue
             x, y = np.minimum(a + off, self.rows - 1), np.minimum(b + off, self.rows - 1)
             off += depth * (rank[x] == rank[y])
         like = np.ones(len(a), bool)
@@ -170,9 +179,11 @@ class RunIndex:
                 has_up = (up >= 0) & (self.key[up] // runs == symbol[other])
                 has_down = (i[other] < runs) & (self.key[down] // runs == symbol[other])
                 was, old = match[other] - 1, place[other]
+                asked = np.concatenate((np.flatnonzero(has_up), np.flatnonzero(has_down)))
+                ends = np.concatenate((self.last[self.by[up[has_up]]], self.first[self.by[down[has_down]]]))
+                kept = np.minimum(was[asked], self.shared(old[asked], ends, int(was.max())))
                 kept_up, kept_down = np.full(len(other), -1), np.full(len(other), -1)
-                kept_up[has_up] = np.minimum(was[has_up], self.shared(old[has_up], self.last[self.by[up[has_up]]]))
-                kept_down[has_down] = np.minimum(was[has_down], self.shared(old[has_down], self.first[self.by[down[has_down]]]))
+                kept_up[has_up], kept_down[has_down] = kept[: int(has_up.sum())], kept[int(has_up.sum()) :]
                 above = kept_up >= kept_down
                 take = np.where(above, up, down)
                 run = self.by[take]
@@ -187,13 +198,29 @@ class RunIndex:
             yield who, at, match
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    """Ranks of keys; equal keys have equal ranks."""
-    order = np.argsort(key)
-    s = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
-    return rank
+def _refine(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Tells those of `tied` that share a rank apart by their keys. A rank is the number of smaller ones, so those of other ranks
+    keep theirs. Returns who still shares one."""
+    if not len(tied):
+        return tied
+    was = rank[tied]
+    wide = int(key.max()) + 1
+    if int(was.max()) * wide + wide < 1 << 62:
+        both = was * wide + key
+        order = np.argsort(both)
+        both = both[order]
+        new_key = np.concatenate(([True], both[1:] != both[:-1]))
+        old = was[order]
+    else:
+        order = np.lexsort((key, was))
+        old, k = was[order], key[order]
+        new_key = np.concatenate(([True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])))
+    new_rank = np.concatenate(([True], old[1:] != old[:-1]))
+    at = np.arange(len(order))
+    begin = np.maximum.accumulate(np.where(new_key, at, 0))
+    rank[tied[order]] = old + begin - np.maximum.accumulate(np.where(new_rank, at, 0))
+    alone = new_key & np.append(new_key[1:], True)
+    return tied[order[~alone]]
 
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -230,10 +257,11 @@ def classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray
     return out
 
 
-def first_places(cls: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """True for those of a class that none is earlier than: in its least doc_id, the first of each row."""
+def first_places(cls: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, sorted_: bool = False) -> np.ndarray:
+    """True for those of a class that none is earlier than: in its least doc_id, the first of each row. sorted_: they are in
+    order of their places."""
     out = np.zeros(len(cls), bool)
-    order = np.lexsort((start, row, doc, cls))
+    order = np.argsort(cls, kind="stable") if sorted_ else np.lexsort((start, row, doc, cls))
     c, d, r = cls[order], doc[order], row[order]
     new = np.ones(len(c), bool)
     new[1:] = c[1:] != c[:-1]
@@ -260,8 +288,8 @@ class Contexts:
         self.data = data[self.off[0] : self.off[-1]]
         self.off = self.off - self.off[0]
         found = []
-        for a in range(0, len(self.data), STEP):  # windows that start in a step; they may end in the next
-            piece = self.data[a : a + STEP + LENGTH - 1]
+        for a in range(0, len(self.data), PIECE):  # windows that start in a piece; they may end in the next
+            piece = self.data[a : a + PIECE + LENGTH - 1]
             lo, hi = np.searchsorted(self.off, [a, a + len(piece)], "right")
             first, last, print_ = anchors(piece, self.off[lo:hi] - a)
             found.append((first + a, last - first + LENGTH, print_, span_hashes(piece, first, last + LENGTH)))
@@ -270,7 +298,7 @@ class Contexts:
         self.row = np.searchsorted(self.off, self.begin, "right") - 1
         self.start = self.begin - self.off[self.row]
         self.cls = classes(self.data, self.begin, self.size, h)
-        self.open = first_places(self.cls, self.ids[self.row], self.row, self.start)
+        self.open = first_places(self.cls, self.ids[self.row], self.row, self.start, True)
 
 
 def _packets(where: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -347,7 +375,7 @@ def earlier_spans(rows: DataFrame, n: int, shared: DataFrame, bins: int) -> Data
             b = np.arange(int(count.sum())) + np.repeat(c.begin[wide] - (np.cumsum(count) - count), count)
             r, s = np.repeat(c.row[wide], count), np.full(len(b), LENGTH)
             h = _hash_long(c.data, b, s)
-            open_ = first_places(classes(c.data, b, s, h), c.ids[r], r, b)
+            open_ = first_places(classes(c.data, b, s, h), c.ids[r], r, b, True)
             start = (b - c.off[r])[~open_]
             settled = np.stack((r[~open_], start, start + LENGTH), axis=1)
             begin, size, print_, row = (np.concatenate(x) for x in ((begin, b[open_]), (size, s[open_]), (print_, h[open_]), (row, r[open_])))
@@ -424,11 +452,9 @@ def late_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: n
     of = {k: np.cumsum(v) - 1 for k, v in edge.items()}
     first = {k: np.append(np.flatnonzero(v), n) for k, v in edge.items()}
     lo, hi = first["group"][:-1], first["group"][1:]
-    while True:
-        big = hi - lo > 1
+    nodes = []
+    while (big := hi - lo > 1).any():
         lo, hi = lo[big], hi[big]
-        if not len(lo):
-            return
         mid = (lo + hi) // 2
 
         def at_edge(kind: str, lo=lo, hi=hi, mid=mid) -> np.ndarray:  # the middle, moved to where a doc or an owner begins
@@ -438,8 +464,10 @@ def late_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: n
         docs, owners = of["doc"][lo] != of["doc"][hi - 1], of["owner"][lo] != of["owner"][hi - 1]
         mid = np.where(docs, at_edge("doc"), np.where(owners, at_edge("owner"), mid))
         meets = docs | ~owners  # rows that share a doc_id do not see each other
-        yield from _meet(data, begin, size, lo[meets], mid[meets], hi[meets], least, indexed)
+        nodes.append((lo[meets], mid[meets], hi[meets]))
         lo, hi = np.concatenate((lo, mid)), np.concatenate((mid, hi))
+    if nodes:
+        yield from _meet(data, begin, size, *(np.concatenate(x) for x in zip(*nodes)), least, indexed)
 
 
 def _meet(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, least: int, indexed: int):
@@ -481,7 +509,7 @@ def dedup(docs: DataFrame, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the other bytes)."""
     small_batches(docs.sparkSession)
     rows, n = batches(docs, batch)
-    bins = 3 * n
+    bins = n
     shared = shared_anchors(rows, n, bins, hot)
     spans = earlier_spans(rows, n, shared, bins)
 
