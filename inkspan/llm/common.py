@@ -126,7 +126,8 @@ def dealt(rows: DataFrame, n: int, key: str = "batch"):
 
 
 def by_id(table: pa.Table) -> pa.Table:
-    return table.select(["doc_id", "text"]).sort_by("doc_id")
+    """A batch in an order that each run finds again: of doc_id, then text."""
+    return table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -172,6 +173,67 @@ def steps(col: pa.Array | pa.ChunkedArray, limit: int = STEP):
         row += len(chunk)
 
 
+def flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column on end, and row boundaries in them."""
+    whole = pa.chunked_array([c.cast(pa.large_binary()) for c in col.chunks] or [pa.array([], pa.large_binary())]).combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    _, off, data = whole.buffers()
+    if not len(whole) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(whole) + 1, np.int64)
+    off = np.frombuffer(off, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
+
+
+def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[begin:begin + size] of all, on end."""
+    ends = np.cumsum(size)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+
+
+def packets(where: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bin, members in their order) for each bin that has any."""
+    order = np.argsort(where, kind="stable")
+    s = where[order]
+    cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
+    return [(int(s[a]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def exact_classes(h: np.ndarray, alike) -> np.ndarray:
+    """A class for each entry; entries of a class are the same. h: hashes, alike for like entries; alike(i, j): whether entries
+    i and j are the same, which settles what the hashes propose."""
+    out, todo, used = np.zeros(len(h), np.int64), np.arange(len(h)), 0
+    while len(todo):
+        _, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
+        head = todo[first[which]]
+        same = head == todo
+        copy = np.flatnonzero(~same)
+        same[copy] = alike(head[copy], todo[copy])
+        out[todo[same]] = used + which[same]
+        used += len(first)
+        todo = todo[~same]  # others that share a hash
+    return out
+
+
+def byte_classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """exact_classes of the byte strings data[begin:begin + size], none of them empty."""
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = size[i] == size[j]
+        at = np.flatnonzero(out)
+        ends, lo = np.cumsum(size[i[at]]), 0
+        while lo < len(at):
+            s = size[i[at[lo]]]
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - s + STEP, "right")))
+            k = at[lo:hi]
+            s = size[i[k]]
+            unlike = gather(data, begin[i[k]], s) != gather(data, begin[j[k]], s)
+            out[k] = ~np.logical_or.reduceat(unlike, np.cumsum(s) - s)
+            lo = hi
+        return out
+
+    return exact_classes(h, alike)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NOT_SPACE = np.ones(256, bool)
@@ -219,6 +281,18 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """span_hashes in pieces, so that memory stays bounded. begin ascends."""
+    found = np.zeros(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + STEP // 8)))
+        lo, hi = begin[a], begin[b - 1] + size[b - 1]
+        found[a:b] = span_hashes(data[lo:hi], begin[a:b] - lo, begin[a:b] + size[a:b] - lo)
+        a = b
+    return found
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and off-like row boundaries in words; words never cross rows."""
     inside = table[data]

@@ -1,43 +1,52 @@
-"""Substring dedup by a hash grouping of word windows.
-
-Each word starts a window of WINDOW words. Windows are grouped by a 64-bit hash of their words; the smallest doc_id of a
-group decides which of its windows are removed. This stands in for prefix-partitioned suffix trees: no suffixes are
-ordered, no edges or common prefixes are found and no maximal repeats are listed, because removal needs only whether
-a window stands in a smaller document, and trees would need the words themselves in every bin.
-
-Which bin a window goes to follows from its words' prefix, of variable length: counts over the whole corpus of hashed
-prefixes of 1, 2, 4, ... words say which prefixes are small enough to be a group; a larger one is split by its longer
-prefixes. Groups are packed into bins of like size. This evens out the bins and does not change the result.
-
-Documents are dealt by a hash of doc_id into batches of a few MB. A batch sends one suffix for each of its distinct
-windows, with the smallest doc_id that has it there, so a passage in a third of all documents arrives once for each
-batch, and within a batch the repeats are settled on the spot. Bins answer each batch with its windows that start in
-a smaller document elsewhere; then the batch is read once more and the covered words go.
-
-Null text: no words. Null doc_id: later than all others; such rows count as one document, like rows that share a
-doc_id (repeated rows remove nothing from each other). Texts of fewer words than the window keep all. Other columns
-do not matter. Empty table: empty result.
+"""Substring dedup by prefix-partitioned suffix trees over words.
+
+Each word that starts a window of WINDOW words starts a suffix. Suffixes are split by prefixes of variable length into groups
+that fit into memory: counts over the whole corpus of hashed prefixes of 1, 2, 4, ... words say which prefixes are small enough
+to be a group; a larger one is split by its longer prefixes, at last by the whole window. A group goes to a bin by a hash of its
+prefix, so there is always a longer prefix to split by, and every bin gets work. A bin builds the subtrees of its groups over the
+words themselves: its suffixes in order, with the number of words that neighbours share. Suffixes are cut at WINDOW words, as a
+deeper node would say nothing more; the nodes of that depth are the repeats, and the smallest doc_id below one decides which of
+its windows are removed. Joined in their documents, these windows are the maximal repeats.
+
+Words travel as bytes, in a dictionary for each packet, so nothing rests on a hash: within a batch windows are alike if their
+words are, and words are alike if their bytes are. Hashes only propose likeness and deal work out.
+
+Documents are dealt into batches of about BATCH bytes. To keep suffixes that cannot repeat at home, each window has an anchor,
+the least hash of its GRAM-word strings, so like windows have like anchors; batches send their anchors first and learn which
+occur elsewhere. Of the windows with such an anchor a batch sends each distinct one once, with the smallest doc_id that has it
+there; so a passage in a third of all documents arrives once for each batch, and repeats within a batch are settled on the spot.
+Bins name to each batch those that start in a smaller document elsewhere; then the batch is read once more and the covered words
+go.
+
+Null text: no words. Null doc_id: later than all others; such rows count as one document, like rows that share a doc_id
+(repeated rows remove nothing from each other). Texts of fewer words than the window keep all. Other columns do not matter. Empty
+table: empty result.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, NOT_SPACE, batches, by_id, cover, cut, gram_hashes, inner_starts, pack, rows_of, small_batches, span_hashes, steps, unpack, word_spans
+from .common import (
+    NO_ID, NOT_SPACE, batches, by_id, byte_classes, cover, cut, dealt, exact_classes, flat, gather, gram_hashes, hash_spans, inner_starts, pack, packets, rows_of, small_batches, span_hashes, steps, tidy, unpack, word_spans,
+)
 
 WINDOW = 13
+#: Words of an anchor.
+GRAM = 8
 #: Hashed prefixes that are counted for each length; this bounds the table that is sent to the driver and back.
-BUCKETS = 1 << 13
+BUCKET_BITS = 13
+#: Suffixes of a bin, over the share that a group may have of it.
+GROUPS = 4
 #: Bytes of text in a batch.
-BATCH = 12 << 20
+BATCH = 8 << 20
 
 
 def levels(window: int) -> list[int]:
+    """Lengths of the prefixes."""
     found = [1]
     while found[-1] < window:
         found.append(min(window, found[-1] * 2))
@@ -45,151 +54,240 @@ def levels(window: int) -> list[int]:
 
 
 def _buckets(prefix: np.ndarray) -> np.ndarray:
-    return (prefix >> np.uint64(64 - 13)).astype(np.int64)
+    return (prefix >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _prefix_counts(rows: DataFrame, window: int) -> np.ndarray:
-    """Suffixes for each level and bucket."""
-    lens = levels(window)
+def prefix_counts(rows: DataFrame, window: int) -> np.ndarray:
+    """Suffixes for each length of prefix and bucket."""
+    lens, buckets = levels(window), 1 << BUCKET_BITS
 
     def count(it):
-        found = np.zeros((len(lens), BUCKETS), np.int64)
+        found = np.zeros((len(lens), buckets), np.int64)
         for batch in it:
             for _, data, off in steps(batch.column(0)):
                 s, e, bounds = word_spans(data, off, NOT_SPACE)
                 h, at = span_hashes(data, s, e), inner_starts(bounds, window)
                 for k, n in enumerate(lens):
                     if len(at):
-                        found[k] += np.bincount(_buckets(gram_hashes(h, n)[at]), minlength=BUCKETS)
+                        found[k] += np.bincount(_buckets(gram_hashes(h, n)[at]), minlength=buckets)
         k = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(found.reshape(-1)[k])], ["slot", "n"])
 
-    total = np.zeros(len(lens) * BUCKETS, np.int64)
+    total = np.zeros(len(lens) * buckets, np.int64)
     for slot, n in rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
         total[slot] = n  # as many rows as slots at most
-    return total.reshape(len(lens), BUCKETS)
-
-
-def plan_groups(counts: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each prefix group, by level and bucket; -1: the prefix is split by longer ones."""
-    limit = max(1, int(counts[0].sum()) // (bins * 4))
-    table = np.full(counts.shape, -1, np.int32)
-    loads = [(0, b) for b in range(bins)]
-    for k in range(len(counts)):
-        fits = (counts[k] <= limit) if k + 1 < len(counts) else np.ones(BUCKETS, bool)
-        for slot in sorted(np.flatnonzero(fits), key=lambda i: (-counts[k][i], i)):
-            load, b = heapq.heappop(loads)
-            table[k, slot] = b
-            heapq.heappush(loads, (load + int(counts[k][slot]), b))
-        if fits.all():
-            break
-    return table
+    return total.reshape(len(lens), buckets)
+
+
+def small_groups(counts: np.ndarray, bins: int) -> np.ndarray:
+    """For each length of prefix and bucket, whether its prefixes are small enough to be groups."""
+    return counts <= max(1, int(counts[0].sum()) // (bins * GROUPS))
 
 
-def _bins(h: np.ndarray, at: np.ndarray, table: np.ndarray, lens: list[int]) -> np.ndarray:
-    found = np.full(len(at), -1, np.int32)
+def bins_of(h: np.ndarray, at: np.ndarray, small: np.ndarray, window: int, bins: int) -> np.ndarray:
+    """The bin of the suffix at each of the words `at`: by its shortest prefix that is small, or else by the whole window."""
+    found, todo, lens = np.zeros(len(at), np.int64), np.arange(len(at)), levels(window)
     for k, n in enumerate(lens):
-        open_ = np.flatnonzero(found < 0)
-        if not len(open_):
+        prefix = gram_hashes(h, n)[at[todo]]
+        fits = small[k][_buckets(prefix)] if k + 1 < len(lens) else np.ones(len(todo), bool)
+        found[todo[fits]] = ((prefix[fits] ^ np.uint64(n)) % np.uint64(bins)).astype(np.int64)
+        todo = todo[~fits]
+        if not len(todo):
             break
-        found[open_] = table[k][_buckets(gram_hashes(h, n)[at[open_]])]
     return found
 
 
-def shared_windows(rows: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
-    """rows: doc_id, text, batch. Returns batch, labels: packed fingerprints of the batch's windows that start in a
-    smaller document of another batch."""
-    lens, bins = levels(window), 3 * n
-    groups = rows.sparkSession.sparkContext.broadcast(plan_groups(_prefix_counts(rows, window), bins))
-
-    def send(table: pa.Table) -> pa.Table:
-        me, table = table["batch"][0].as_py(), by_id(table)
-        ids = table["doc_id"].to_numpy()
-        labels, docs, where = [], [], []
-        for row, data, off in steps(table["text"]):
-            s, e, bounds = word_spans(data, off, NOT_SPACE)
-            h, at = span_hashes(data, s, e), inner_starts(bounds, window)
-            if not len(at):
-                continue
-            label, first = np.unique(gram_hashes(h, window)[at], return_index=True)
-            at = at[first]
-            labels.append(label)
-            docs.append(ids[row + rows_of(bounds)[at]])
-            where.append(_bins(h, at, groups.value, lens))
-        out = {"bin": [], "batch": [], "labels": [], "docs": []}
-        if labels:
-            label, first = np.unique(np.concatenate(labels), return_index=True)  # the first has the smallest doc_id
-            doc, where = np.concatenate(docs)[first], np.concatenate(where)[first]
-            order = np.argsort(where, kind="stable")
-            label, doc, where = label[order], doc[order], where[order]
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(where) > 0, [True])))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                out["bin"].append(int(where[a]))
-                out["batch"].append(me)
-                out["labels"].append(pack(label[a:b]))
-                out["docs"].append(pack(doc[a:b]))
-        return pa.table(out, pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("labels", pa.binary()), ("docs", pa.binary())]))
-
-    def subtrees(table: pa.Table) -> pa.Table:
-        labels = [unpack(x, np.uint64) for x in table["labels"].to_pylist()]
-        docs = [unpack(x, np.int64) for x in table["docs"].to_pylist()]
-        sender = np.repeat(np.arange(len(labels)), [len(x) for x in labels])
-        label, doc = np.concatenate(labels), np.concatenate(docs)
-        order = np.argsort(label, kind="stable")
-        same = label[order[1:]] == label[order[:-1]]
-        inner = np.zeros(len(order), bool)  # windows that share their hash with another
-        inner[1:] |= same
-        inner[:-1] |= same
-        order = order[inner]
-        out = {"batch": [], "labels": []}
-        if len(order):
-            node = np.concatenate(([0], np.cumsum(label[order][1:] != label[order][:-1])))
-            least = np.minimum.reduceat(doc[order], np.flatnonzero(np.concatenate(([True], np.diff(node) > 0))))
-            later = order[doc[order] > least[node]]
-            names = table["batch"].to_pylist()
-            for k in np.unique(sender[later]):
-                out["batch"].append(names[k])
-                out["labels"].append(pack(np.sort(label[later[sender[later] == k]])))
-        return pa.table(out, pa.schema([("batch", pa.int64()), ("labels", pa.binary())]))
-
-    sent = rows.groupBy("batch").applyInArrow(send, "bin int, batch long, labels binary, docs binary")
-    return cut(sent.groupBy("bin").applyInArrow(subtrees, "batch long, labels binary"), "windows")
-
-
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+class Subtrees:
+    """Subtrees of suffixes, all cut at the same number of words, in the form of arrays: `order` has the suffixes in order of
+    their words, `shared` how many words each has in common with the one before."""
+
+    def __init__(self, words: np.ndarray):
+        """words: numbers of words, shape (suffixes, depth)."""
+        n, depth = words.shape
+        bits = max(1, int(words.max() if n else 0).bit_length())
+        per = 63 // bits
+        keys = []
+        for k in range(0, depth, per):  # as many words in a key as it holds
+            key = np.zeros(n, np.int64)
+            for j in range(k, min(k + per, depth)):
+                key = (key << bits) | words[:, j]
+            keys.append(key)
+        self.order = np.lexsort(keys[::-1]) if n else np.zeros(0, np.int64)
+        self.shared = np.zeros(n, np.int64)
+        like = np.ones(max(0, n - 1), bool)
+        for j in range(depth):
+            column = words[self.order, j]
+            like &= column[1:] == column[:-1]
+            self.shared[1:] += like
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """The number of the node that each suffix in order is below, at this depth in words; a node of one suffix is a leaf."""
+        return np.cumsum(np.concatenate(([True], self.shared[1:] < depth))) - 1 if len(self.order) else np.zeros(0, np.int64)
+
+
+class Batch:
+    """A batch's words and windows: words by number, windows by the word they start with, their document and class, and each
+    class's first window, which is in the smallest document that has it."""
+
+    def __init__(self, table: pa.Table, window: int):
+        table = by_id(table)
+        self.ids, self.window = table["doc_id"].to_numpy(), window
+        self.data, off = flat(table["text"])
+        self.s, self.e, self.bounds = word_spans(self.data, off, NOT_SPACE)
+        self.h = hash_spans(self.data, self.s, self.e - self.s)
+        self.word = byte_classes(self.data, self.s, self.e - self.s, self.h).astype(np.int32)
+        self.at = inner_starts(self.bounds, window)
+        self.doc = self.ids[rows_of(self.bounds)[self.at]]
+        self.cls = exact_classes(gram_hashes(self.h, window)[self.at], self._alike)
+        names, self.first = np.unique(self.cls, return_index=True)
+        self.cls = np.searchsorted(names, self.cls) if len(names) and names[-1] + 1 != len(names) else self.cls
+
+    def _alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = self.at[i], self.at[j]
+        out = np.ones(len(a), bool)
+        for k in range(self.window):
+            out &= self.word[a + k] == self.word[b + k]
+        return out
+
+    def anchors(self) -> np.ndarray:
+        """The anchor of each class."""
+        gram = min(GRAM, self.window)
+        low, g = None, gram_hashes(self.h, gram)
+        at = self.at[self.first]
+        for k in range(self.window - gram + 1):
+            low = g[at + k] if low is None else np.minimum(low, g[at + k])
+        return low if low is not None else np.zeros(0, np.uint64)
+
+    def sent(self, asked: np.ndarray, small: np.ndarray, bins: int) -> list[tuple[int, np.ndarray]]:
+        """(bin, classes) of the windows whose anchor occurs elsewhere."""
+        mine = np.flatnonzero(np.isin(self.anchors(), asked))
+        return [(b, mine[k]) for b, k in packets(bins_of(self.h, self.at[self.first[mine]], small, self.window, bins))]
+
+
+PRINTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary())])
+SHARED = pa.schema([("batch", pa.int64()), ("prints", pa.binary())])
+SUFFIXES = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("dictionary", pa.list_(pa.binary())), ("wide", pa.bool_()), ("words", pa.binary()), ("docs", pa.binary())])
+FOUND = pa.schema([("batch", pa.int64()), ("bin", pa.int32()), ("late", pa.binary())])
+DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.binary()): "array<binary>"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {DDL[f.type]}" for f in schema)
+
+
+def send_anchors(table: pa.Table, window: int, bins: int) -> pa.Table:
+    me, found = table["batch"][0].as_py(), np.unique(Batch(table, window).anchors())
+    out = {f.name: [] for f in PRINTS}
+    for where, k in packets((found % np.uint64(bins)).astype(np.int64)):
+        for name, x in (("bin", where), ("batch", me), ("prints", pack(found[k]))):
+            out[name].append(x)
+    return pa.table(out, PRINTS)
+
+
+def answer_anchors(table: pa.Table) -> pa.Table:
+    """To each batch those of its anchors that another one has."""
+    prints = [unpack(x, np.uint64) for x in table["prints"].to_pylist()]
+    _, which, senders = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+    out, at = {f.name: [] for f in SHARED}, 0
+    for batch, mine in zip(table["batch"].to_pylist(), prints):
+        twice = senders[which[at : at + len(mine)]] > 1
+        at += len(mine)
+        if twice.any():
+            out["batch"].append(batch)
+            out["prints"].append(pack(mine[twice]))
+    return pa.table(out, SHARED)
+
+
+def _asked(right: pa.Table) -> np.ndarray:
+    found = [unpack(x, np.uint64) for x in right["prints"].to_pylist() if x is not None]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def send_suffixes(left: pa.Table, right: pa.Table, small: np.ndarray, window: int, bins: int) -> pa.Table:
+    out = {f.name: [] for f in SUFFIXES}
+    if left.num_rows and right.num_rows:
+        me, b = left["batch"][0].as_py(), Batch(left, window)
+        n_words = int(b.word.max()) + 1 if len(b.word) else 0
+        where = np.zeros(n_words, np.int64)  # of a word's first occurrence
+        where[b.word[::-1]] = np.arange(len(b.word))[::-1]
+        number = np.zeros(n_words, np.int32)
+        for bin_, k in b.sent(_asked(right), small, bins):
+            words = b.word[b.at[b.first[k]][:, None] + np.arange(window)]
+            met = np.zeros(n_words, bool)
+            met[words] = True
+            mine = np.flatnonzero(met)
+            number[mine] = np.arange(len(mine))
+            wide = len(mine) > 1 << 16
+            size = b.e[where[mine]] - b.s[where[mine]]
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            bytes_ = gather(b.data, b.s[where[mine]], size).tobytes()
+            for name, x in (
+                ("bin", bin_), ("batch", me), ("wide", wide), ("words", pack(number[words].T.astype(np.uint32 if wide else np.uint16).reshape(-1))), ("docs", pack(b.doc[b.first[k]])),
+                ("dictionary", pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes_)])),
+            ):
+                out[name].append(x)
+    tidy()
+    return pa.table([pa.array([], f.type) if not out[f.name] else _lists(out[f.name]) if f.name == "dictionary" else pa.array(out[f.name], f.type) for f in SUFFIXES], schema=SUFFIXES)
+
+
+def _lists(arrays: list[pa.Array]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(arrays))
+
+
+def search_subtrees(table: pa.Table, window: int) -> pa.Table:
+    """To each batch those of the suffixes it sent, by their place in the packet, whose window starts in a smaller document."""
+    dictionary = pa.concat_arrays([c.flatten() for c in table["dictionary"].chunks])
+    number = dictionary.dictionary_encode().indices.to_numpy().astype(np.int32)
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in table["dictionary"].chunks])
+    words, docs = [], [unpack(x, np.int64) for x in table["docs"].to_pylist()]
+    for base, raw, wide in zip(np.cumsum(sizes) - sizes, table["words"].to_pylist(), table["wide"].to_pylist()):
+        words.append(number[base + unpack(raw, np.uint32 if wide else np.uint16).reshape(window, -1).T.astype(np.int64)])
+    sender, doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate(docs)
+    tree = Subtrees(np.concatenate(words))
+    del words, dictionary, number
+    node = tree.nodes(window)
+    least = np.minimum.reduceat(doc[tree.order], np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))) if len(node) else doc
+    late = np.zeros(len(doc), bool)
+    late[tree.order] = doc[tree.order] > least[node]
+    out, first = {f.name: [] for f in FOUND}, np.cumsum([0] + [len(x) for x in docs])
+    for k, (batch, bin_) in enumerate(zip(table["batch"].to_pylist(), table["bin"].to_pylist())):
+        mine = np.flatnonzero(late[first[k] : first[k + 1]])
+        if len(mine):
+            for name, x in (("batch", batch), ("bin", bin_), ("late", pack(mine.astype(np.int32)))):
+                out[name].append(x)
+    tidy()
+    return pa.table(out, FOUND)
+
+
+def remove_words(left: pa.Table, right: pa.Table, small: np.ndarray, window: int, bins: int) -> pa.Table:
+    b = Batch(left, window)
+    least = b.doc[b.first]
+    late = {bin_: unpack(x, np.int32) for bin_, x in zip(right["bin"].to_pylist(), right["late"].to_pylist()) if x is not None}
+    if late:
+        for bin_, k in b.sent(_asked(right), small, bins):
+            if bin_ in late:
+                least[k[late[bin_]]] = -(1 << 63)  # a smaller document has it elsewhere
+    gone = cover(b.at[b.doc > least[b.cls]], window, len(b.s)) if len(b.at) else np.zeros(len(b.s), bool)
+    sums = np.concatenate(([0], np.cumsum(gone)))
+    out = pa.table([pa.array(b.ids, mask=b.ids == NO_ID), pa.array(np.diff(b.bounds)), pa.array(sums[b.bounds[1:]] - sums[b.bounds[:-1]]), join_words(b.data, b.s, b.e, b.bounds, ~gone)], ["doc_id", "n_words", "n_removed", "kept"])
+    tidy()
+    return out
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, batch: int = BATCH) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     small_batches(docs.sparkSession)
-    rows, n = batches(docs, BATCH)
-    found = shared_windows(rows, n, window)
-
-    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = by_id(left)
-        ids = table["doc_id"].to_numpy()
-        marked = [unpack(x, np.uint64) for x in right["labels"].to_pylist()]
-        marked = np.sort(np.concatenate(marked)) if marked else np.zeros(0, np.uint64)
-        pieces = []
-        for row, data, off in steps(table["text"]):
-            s, e, bounds = word_spans(data, off, NOT_SPACE)
-            at = inner_starts(bounds, window)
-            label = gram_hashes(span_hashes(data, s, e), window)[at]
-            pieces.append((row, data, s, e, bounds, at, label, ids[row + rows_of(bounds)[at]]))
-        every = np.concatenate([p[6] for p in pieces]) if pieces else np.zeros(0, np.uint64)
-        label, first, inverse = np.unique(every, return_index=True, return_inverse=True)
-        if len(label):
-            least = np.concatenate([p[7] for p in pieces])[first]
-            least[np.isin(label, marked, assume_unique=True)] = -(1 << 63)  # a smaller document has it elsewhere
-            least = least[inverse]
-        out, done = [], 0
-        for row, data, s, e, bounds, at, label, doc in pieces:
-            gone = cover(at[doc > least[done : done + len(at)]], window, len(s)) if len(at) else np.zeros(len(s), bool)
-            done += len(at)
-            n_words = np.diff(bounds)
-            sums = np.concatenate(([0], np.cumsum(gone)))
-            my = ids[row : row + len(n_words)]
-            out.append(pa.table([pa.array(my, mask=my == NO_ID), pa.array(n_words), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), join_words(data, s, e, bounds, ~gone)], ["doc_id", "n_words", "n_removed", "kept"]))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    rows, n = batches(docs, batch)
+    bins = n
+    small = small_groups(prefix_counts(rows, window), bins)
+    sent = dealt(rows, n).applyInArrow(lambda t: send_anchors(t, window, bins), _ddl(PRINTS))
+    shared = cut(dealt(sent, bins, "bin").applyInArrow(answer_anchors, _ddl(SHARED)), "anchors")
+    sent = dealt(rows, n).cogroup(dealt(shared, n)).applyInArrow(lambda a, b: send_suffixes(a, b, small, window, bins), _ddl(SUFFIXES))
+    found = cut(dealt(sent, bins, "bin").applyInArrow(lambda t: search_subtrees(t, window), _ddl(FOUND)), "windows")
+    told = shared.select("batch", "prints", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("binary").alias("late"))
+    told = told.unionByName(found.select("batch", F.lit(None).cast("binary").alias("prints"), "bin", "late"))
+    return dealt(rows, n).cogroup(dealt(told, n)).applyInArrow(lambda a, b: remove_words(a, b, small, window, bins), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def join_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> pa.Array:

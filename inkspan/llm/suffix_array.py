@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, STEP, _VALUES, _upto, batches, cut, dealt, mix, pack, small_batches, span_hashes, steps, tidy, unpack
+from .common import NO_ID, STEP, _VALUES, _upto, batches, by_id, byte_classes, cut, dealt, flat, gather, hash_spans, mix, pack, packets, small_batches, span_hashes, steps, tidy, unpack
 
 LENGTH = 100
 ANCHOR = 32
@@ -223,40 +223,6 @@ def _refine(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
     return tied[order[~alone]]
 
 
-def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(size)
-    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
-
-
-def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a + size] and data[b:b + size] are the same bytes."""
-    out = np.ones(len(a), bool)
-    ends = np.cumsum(size)
-    lo = 0
-    while lo < len(a):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo] - size[lo]) + STEP, "right")))
-        s = size[lo:hi]
-        unlike = _gather(data, a[lo:hi], s) != _gather(data, b[lo:hi], s)
-        out[lo:hi] = ~np.logical_or.reduceat(unlike, np.cumsum(s) - s)
-        lo = hi
-    return out
-
-
-def classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The class of each byte string; strings of a class are the same. h: hashes, alike for like strings."""
-    out, todo, used = np.zeros(len(begin), np.int64), np.arange(len(begin)), 0
-    while len(todo):
-        _, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
-        head = todo[first[which]]
-        same = size[head] == size[todo]
-        copy = np.flatnonzero(same & (head != todo))
-        same[copy] = _alike(data, begin[head[copy]], begin[todo[copy]], size[todo[copy]])
-        out[todo[same]] = used + which[same]
-        used += len(first)
-        todo = todo[~same]  # others that share a hash
-    return out
-
-
 def first_places(cls: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, sorted_: bool = False) -> np.ndarray:
     """True for those of a class that none is earlier than: in its least doc_id, the first of each row. sorted_: they are in
     order of their places."""
@@ -277,16 +243,9 @@ class Contexts:
     the bytes, size, start in its row, anchor, class, and whether it has no earlier copy in the batch."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.table, self.ids = table, table["doc_id"].to_numpy()
-        col = table["text"].combine_chunks().cast(pa.large_binary()) if table.num_rows else pa.array([], pa.large_binary())
-        if isinstance(col, pa.ChunkedArray):
-            col = col.chunk(0)
-        _, off, data = col.buffers()
-        self.off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        self.data = data[self.off[0] : self.off[-1]]
-        self.off = self.off - self.off[0]
+        self.table = table = by_id(table)
+        self.ids = table["doc_id"].to_numpy()
+        self.data, self.off = flat(table["text"])
         found = []
         for a in range(0, len(self.data), PIECE):  # windows that start in a piece; they may end in the next
             piece = self.data[a : a + PIECE + LENGTH - 1]
@@ -297,18 +256,10 @@ class Contexts:
         self.begin, self.size, self.print, h = (np.concatenate(x) for x in zip(*(found or [none])))
         self.row = np.searchsorted(self.off, self.begin, "right") - 1
         self.start = self.begin - self.off[self.row]
-        self.cls = classes(self.data, self.begin, self.size, h)
+        self.cls = byte_classes(self.data, self.begin, self.size, h)
         self.open = first_places(self.cls, self.ids[self.row], self.row, self.start, True)
 
 
-def _packets(where: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(bin, members in their order) for each bin that has any."""
-    order = np.argsort(where, kind="stable")
-    s = where[order]
-    cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
-    return [(int(s[a]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
 PRINTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
 SHARED = pa.schema([("batch", pa.int64()), ("prints", pa.binary()), ("hot", pa.binary())])
 CONTEXTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("settled", pa.binary())])
@@ -328,7 +279,7 @@ def shared_anchors(rows: DataFrame, n: int, bins: int, hot: int) -> DataFrame:
         me, c = table["batch"][0].as_py(), Contexts(table)
         print_, count = np.unique(c.print[c.open], return_counts=True)
         out = {f.name: [] for f in PRINTS}
-        for where, mine in _packets((print_ % np.uint64(bins)).astype(np.int64)):
+        for where, mine in packets((print_ % np.uint64(bins)).astype(np.int64)):
             for name, x in (("bin", where), ("batch", me), ("prints", pack(print_[mine])), ("counts", pack(count[mine].astype(np.int32)))):
                 out[name].append(x)
         tidy()
@@ -374,18 +325,18 @@ def earlier_spans(rows: DataFrame, n: int, shared: DataFrame, bins: int) -> Data
             count = c.size[wide] - LENGTH + 1
             b = np.arange(int(count.sum())) + np.repeat(c.begin[wide] - (np.cumsum(count) - count), count)
             r, s = np.repeat(c.row[wide], count), np.full(len(b), LENGTH)
-            h = _hash_long(c.data, b, s)
-            open_ = first_places(classes(c.data, b, s, h), c.ids[r], r, b, True)
+            h = hash_spans(c.data, b, s)
+            open_ = first_places(byte_classes(c.data, b, s, h), c.ids[r], r, b, True)
             start = (b - c.off[r])[~open_]
             settled = np.stack((r[~open_], start, start + LENGTH), axis=1)
             begin, size, print_, row = (np.concatenate(x) for x in ((begin, b[open_]), (size, s[open_]), (print_, h[open_]), (row, r[open_])))
         order = np.lexsort((begin, row))
         begin, size, print_, row = begin[order], size[order], print_[order], row[order]
-        packets = _packets((print_ % np.uint64(bins)).astype(np.int64))
-        for where, k in packets or ([(me % bins, order[:0])] if len(settled) else []):
+        packed = packets((print_ % np.uint64(bins)).astype(np.int64))
+        for where, k in packed or ([(me % bins, order[:0])] if len(settled) else []):
             for name, x in (
                 ("bin", where), ("batch", me), ("prints", pack(print_[k])), ("docs", pack(c.ids[row[k]])), ("rows", pack(row[k].astype(np.int32))), ("starts", pack(begin[k] - c.off[row[k]])), ("sizes", pack(size[k].astype(np.int32))),
-                ("bytes", _gather(c.data, begin[k], size[k]).tobytes()), ("settled", settled.tobytes()),
+                ("bytes", gather(c.data, begin[k], size[k]).tobytes()), ("settled", settled.tobytes()),
             ):
                 out[name].append(x)
             settled = settled[:0]
@@ -400,7 +351,7 @@ def earlier_spans(rows: DataFrame, n: int, shared: DataFrame, bins: int) -> Data
         owner = (sender << 32) | row  # a row of the corpus
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
         begin = np.cumsum(size) - size
-        open_ = first_places(classes(data, begin, size, _hash_long(data, begin, size)), doc, owner, start)
+        open_ = first_places(byte_classes(data, begin, size, hash_spans(data, begin, size)), doc, owner, start)
         copy = np.flatnonzero(~open_)
         hits = [(copy, start[copy], start[copy] + size[copy])]
         own = np.flatnonzero(open_)
@@ -479,7 +430,7 @@ def _meet(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lo: np.ndarray,
     for k in np.unique(part):
         a, b = np.searchsorted(part, [k, k + 1])
         base = int(node[a])
-        index = RunIndex(_gather(data, begin[early[a:b]], size[early[a:b]]), size[early[a:b]], node[a:b] - base)
+        index = RunIndex(gather(data, begin[early[a:b]], size[early[a:b]]), size[early[a:b]], node[a:b] - base)
         nodes = np.arange(base, int(node[b - 1]) + 1)
         count = hi[nodes] - mid[nodes]
         late = np.arange(int(count.sum())) + np.repeat(mid[nodes] - (np.cumsum(count) - count), count)
@@ -487,24 +438,12 @@ def _meet(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lo: np.ndarray,
         cuts = np.cumsum(size[late]) // (4 * indexed)
         for c in np.unique(cuts):
             x, y = np.searchsorted(cuts, [c, c + 1])
-            for who, at, match in index.statistics(_gather(data, begin[late[x:y]], size[late[x:y]]), size[late[x:y]], of[x:y], least):
+            for who, at, match in index.statistics(gather(data, begin[late[x:y]], size[late[x:y]]), size[late[x:y]], of[x:y], least):
                 hit = match >= least
                 if hit.any():
                     yield late[x:y][who[hit]], at[hit]
 
 
-def _hash_long(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """span_hashes in pieces, so that memory stays bounded. begin ascends."""
-    found = np.zeros(len(begin), np.uint64)
-    a = 0
-    while a < len(begin):
-        b = max(a + 1, int(np.searchsorted(begin, begin[a] + STEP)))
-        lo, hi = begin[a], begin[b - 1] + size[b - 1]
-        found[a:b] = span_hashes(data[lo:hi], begin[a:b] - lo, begin[a:b] + size[a:b] - lo)
-        a = b
-    return found
-
-
 def dedup(docs: DataFrame, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the other bytes)."""
     small_batches(docs.sparkSession)
