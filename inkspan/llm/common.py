@@ -190,6 +190,31 @@ def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
 
 
+def refine(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Tells those of `tied` that share a rank apart by their keys. A rank is the number of smaller ones, so those of other ranks
+    keep theirs. Returns who still shares one."""
+    if not len(tied):
+        return tied
+    was = rank[tied]
+    wide = int(key.max()) + 1
+    if int(was.max()) * wide + wide < 1 << 62:
+        both = was * wide + key
+        order = np.argsort(both)
+        both = both[order]
+        new_key = np.concatenate(([True], both[1:] != both[:-1]))
+        old = was[order]
+    else:
+        order = np.lexsort((key, was))
+        old, k = was[order], key[order]
+        new_key = np.concatenate(([True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])))
+    new_rank = np.concatenate(([True], old[1:] != old[:-1]))
+    at = np.arange(len(order))
+    begin = np.maximum.accumulate(np.where(new_key, at, 0))
+    rank[tied[order]] = old + begin - np.maximum.accumulate(np.where(new_rank, at, 0))
+    alone = new_key & np.append(new_key[1:], True)
+    return tied[order[~alone]]
+
+
 def packets(where: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bin, members in their order) for each bin that has any."""
     order = np.argsort(where, kind="stable")
@@ -203,7 +228,12 @@ def exact_classes(h: np.ndarray, alike) -> np.ndarray:
     i and j are the same, which settles what the hashes propose."""
     out, todo, used = np.zeros(len(h), np.int64), np.arange(len(h)), 0
     while len(todo):
-        _, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
+        order = np.argsort(h[todo])
+        s = h[todo][order]
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        which = np.empty(len(todo), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
         head = todo[first[which]]
         same = head == todo
         copy = np.flatnonzero(~same)

@@ -1,19 +1,19 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-Each word that starts a window of WINDOW words starts a suffix. Suffixes are split by prefixes of variable length into groups
-that fit into memory: counts over the whole corpus of hashed prefixes of 1, 2, 4, ... words say which prefixes are small enough
-to be a group; a larger one is split by its longer prefixes, at last by the whole window. A group goes to a bin by a hash of its
-prefix, so there is always a longer prefix to split by, and every bin gets work. A bin builds the subtrees of its groups over the
-words themselves: its suffixes in order, with the number of words that neighbours share. Suffixes are cut at WINDOW words, as a
+Each word that starts a window of WINDOW words starts a suffix. Suffixes are split into groups that fit into memory by strings of
+variable length from the prefix of WINDOW words: first by their anchor, the least-hash string of GRAM words in it, so that
+neighbouring suffixes mostly share a group and travel as one run of words; groups of more than HOT suffixes by the whole prefix, so
+there is always something to split by. A group goes to a bin by the hash of its name. A bin builds the subtrees of its groups over
+the words themselves: its suffixes in order, with the number of words that neighbours share. Suffixes are cut at WINDOW words, as a
 deeper node would say nothing more; the nodes of that depth are the repeats, and the smallest doc_id below one decides which of
 its windows are removed. Joined in their documents, these windows are the maximal repeats.
 
 Words travel as bytes, in a dictionary for each packet, so nothing rests on a hash: within a batch windows are alike if their
 words are, and words are alike if their bytes are. Hashes only propose likeness and deal work out.
 
-Documents are dealt into batches of about BATCH bytes. To keep suffixes that cannot repeat at home, each window has an anchor,
-the least hash of its GRAM-word strings, so like windows have like anchors; batches send their anchors first and learn which
-occur elsewhere. Of the windows with such an anchor a batch sends each distinct one once, with the smallest doc_id that has it
+Documents are dealt into batches of about BATCH bytes. To keep suffixes that cannot repeat at home, batches send their anchors
+first, with the number of suffixes of each, and learn which occur elsewhere (like windows have like anchors). Of the windows with
+such an anchor a batch sends each distinct one once, with the smallest doc_id that has it
 there; so a passage in a third of all documents arrives once for each batch, and repeats within a batch are settled on the spot.
 Bins name to each batch those that start in a smaller document elsewhere; then the batch is read once more and the covered words
 go.
@@ -31,92 +31,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    NO_ID, NOT_SPACE, batches, by_id, byte_classes, cover, cut, dealt, exact_classes, flat, gather, gram_hashes, hash_spans, inner_starts, pack, packets, rows_of, small_batches, span_hashes, steps, tidy, unpack, word_spans,
+    NO_ID, NOT_SPACE, batches, by_id, byte_classes, cover, cut, dealt, exact_classes, flat, gather, gram_hashes, hash_spans, inner_starts, pack, packets, refine, rows_of, small_batches, tidy, unpack, word_spans,
 )
 
 WINDOW = 13
 #: Words of an anchor.
 GRAM = 8
-#: Hashed prefixes that are counted for each length; this bounds the table that is sent to the driver and back.
-BUCKET_BITS = 13
-#: Suffixes of a bin, over the share that a group may have of it.
-GROUPS = 4
+#: Suffixes from which on a group is split by longer prefixes.
+HOT = 100_000
 #: Bytes of text in a batch.
 BATCH = 8 << 20
-
-
-def levels(window: int) -> list[int]:
-    """Lengths of the prefixes."""
-    found = [1]
-    while found[-1] < window:
-        found.append(min(window, found[-1] * 2))
-    return found
-
-
-def _buckets(prefix: np.ndarray) -> np.ndarray:
-    return (prefix >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def prefix_counts(rows: DataFrame, window: int) -> np.ndarray:
-    """Suffixes for each length of prefix and bucket."""
-    lens, buckets = levels(window), 1 << BUCKET_BITS
-
-    def count(it):
-        found = np.zeros((len(lens), buckets), np.int64)
-        for batch in it:
-            for _, data, off in steps(batch.column(0)):
-                s, e, bounds = word_spans(data, off, NOT_SPACE)
-                h, at = span_hashes(data, s, e), inner_starts(bounds, window)
-                for k, n in enumerate(lens):
-                    if len(at):
-                        found[k] += np.bincount(_buckets(gram_hashes(h, n)[at]), minlength=buckets)
-        k = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(found.reshape(-1)[k])], ["slot", "n"])
-
-    total = np.zeros(len(lens) * buckets, np.int64)
-    for slot, n in rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        total[slot] = n  # as many rows as slots at most
-    return total.reshape(len(lens), buckets)
-
-
-def small_groups(counts: np.ndarray, bins: int) -> np.ndarray:
-    """For each length of prefix and bucket, whether its prefixes are small enough to be groups."""
-    return counts <= max(1, int(counts[0].sum()) // (bins * GROUPS))
-
-
-def bins_of(h: np.ndarray, at: np.ndarray, small: np.ndarray, window: int, bins: int) -> np.ndarray:
-    """The bin of the suffix at each of the words `at`: by its shortest prefix that is small, or else by the whole window."""
-    found, todo, lens = np.zeros(len(at), np.int64), np.arange(len(at)), levels(window)
-    for k, n in enumerate(lens):
-        prefix = gram_hashes(h, n)[at[todo]]
-        fits = small[k][_buckets(prefix)] if k + 1 < len(lens) else np.ones(len(todo), bool)
-        found[todo[fits]] = ((prefix[fits] ^ np.uint64(n)) % np.uint64(bins)).astype(np.int64)
-        todo = todo[~fits]
-        if not len(todo):
-            break
-    return found
+SPACE = 32
 
 
 class Subtrees:
     """Subtrees of suffixes, all cut at the same number of words, in the form of arrays: `order` has the suffixes in order of
     their words, `shared` how many words each has in common with the one before."""
 
-    def __init__(self, words: np.ndarray):
-        """words: numbers of words, shape (suffixes, depth)."""
-        n, depth = words.shape
-        bits = max(1, int(words.max() if n else 0).bit_length())
-        per = 63 // bits
-        keys = []
-        for k in range(0, depth, per):  # as many words in a key as it holds
-            key = np.zeros(n, np.int64)
+    def __init__(self, number: np.ndarray, at: np.ndarray, depth: int):
+        """number: the words, by number; at: the first word of each suffix."""
+        n = len(at)
+        bits = max(1, int(number.max() if len(number) else 0).bit_length())
+        per = 61 // bits
+        # as many words in a key as it holds; only suffixes that are still alike are sorted again
+        rank, tied = np.zeros(n, np.int64), np.arange(n)
+        for k in range(0, depth, per):
+            key = np.zeros(len(tied), np.int64)
             for j in range(k, min(k + per, depth)):
-                key = (key << bits) | words[:, j]
-            keys.append(key)
-        self.order = np.lexsort(keys[::-1]) if n else np.zeros(0, np.int64)
+                key = (key << bits) | number[at[tied] + j]
+            tied = refine(rank, tied, key)
+        self.order = np.argsort(rank)
         self.shared = np.zeros(n, np.int64)
         like = np.ones(max(0, n - 1), bool)
         for j in range(depth):
-            column = words[self.order, j]
+            column = number[at[self.order] + j]
             like &= column[1:] == column[:-1]
             self.shared[1:] += like
 
@@ -125,9 +73,8 @@ class Subtrees:
         return np.cumsum(np.concatenate(([True], self.shared[1:] < depth))) - 1 if len(self.order) else np.zeros(0, np.int64)
 
 
-class Batch:
-    """A batch's words and windows: words by number, windows by the word they start with, their document and class, and each
-    class's first window, which is in the smallest document that has it."""
+class Words:
+    """A batch's words, their hashes, and the words that start a window."""
 
     def __init__(self, table: pa.Table, window: int):
         table = by_id(table)
@@ -135,12 +82,29 @@ class Batch:
         self.data, off = flat(table["text"])
         self.s, self.e, self.bounds = word_spans(self.data, off, NOT_SPACE)
         self.h = hash_spans(self.data, self.s, self.e - self.s)
-        self.word = byte_classes(self.data, self.s, self.e - self.s, self.h).astype(np.int32)
         self.at = inner_starts(self.bounds, window)
+
+    def anchors(self, at: np.ndarray) -> np.ndarray:
+        """The anchors of the windows at these words."""
+        gram = min(GRAM, self.window)
+        g, low = gram_hashes(self.h, gram), None
+        for k in range(self.window - gram + 1):
+            low = g[at + k] if low is None else np.minimum(low, g[at + k])
+        return low
+
+
+class Batch(Words):
+    """Words by number; windows by document and class; each class's first window, which is in the smallest document that has it."""
+
+    def __init__(self, table: pa.Table, window: int):
+        super().__init__(table, window)
+        self.word = byte_classes(self.data, self.s, self.e - self.s, self.h).astype(np.int32)
         self.doc = self.ids[rows_of(self.bounds)[self.at]]
         self.cls = exact_classes(gram_hashes(self.h, window)[self.at], self._alike)
-        names, self.first = np.unique(self.cls, return_index=True)
-        self.cls = np.searchsorted(names, self.cls) if len(names) and names[-1] + 1 != len(names) else self.cls
+        self.first = np.full(int(self.cls.max()) + 1 if len(self.cls) else 0, -1)
+        self.first[self.cls[::-1]] = np.arange(len(self.cls))[::-1]
+        if (gap := self.first < 0).any():  # numbers that colliding hashes have left unused
+            self.cls, self.first = (np.cumsum(~gap) - 1)[self.cls], self.first[~gap]
 
     def _alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = self.at[i], self.at[j]
@@ -149,26 +113,26 @@ class Batch:
             out &= self.word[a + k] == self.word[b + k]
         return out
 
-    def anchors(self) -> np.ndarray:
-        """The anchor of each class."""
-        gram = min(GRAM, self.window)
-        low, g = None, gram_hashes(self.h, gram)
-        at = self.at[self.first]
-        for k in range(self.window - gram + 1):
-            low = g[at + k] if low is None else np.minimum(low, g[at + k])
-        return low if low is not None else np.zeros(0, np.uint64)
-
-    def sent(self, asked: np.ndarray, small: np.ndarray, bins: int) -> list[tuple[int, np.ndarray]]:
-        """(bin, classes) of the windows whose anchor occurs elsewhere."""
-        mine = np.flatnonzero(np.isin(self.anchors(), asked))
-        return [(b, mine[k]) for b, k in packets(bins_of(self.h, self.at[self.first[mine]], small, self.window, bins))]
-
-
-PRINTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary())])
-SHARED = pa.schema([("batch", pa.int64()), ("prints", pa.binary())])
-SUFFIXES = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("dictionary", pa.list_(pa.binary())), ("wide", pa.bool_()), ("words", pa.binary()), ("docs", pa.binary())])
+    def sent(self, asked: np.ndarray, hot: np.ndarray, bins: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(bin, classes, first words of runs) of the suffixes whose anchor occurs elsewhere; classes in order of their first windows.
+        A run is of neighbouring suffixes with one anchor."""
+        cls = np.argsort(self.first)
+        anchor = self.anchors(self.at[self.first[cls]])
+        some = np.isin(anchor, asked)
+        cls, anchor = cls[some], anchor[some]
+        if not len(cls):
+            return []
+        at, many = self.at[self.first[cls]], np.isin(anchor, hot)
+        name = anchor.copy()
+        name[many] = gram_hashes(self.h, self.window)[at[many]]
+        return [(b, cls[k], at[k][np.concatenate(([True], (np.diff(at[k]) != 1) | (name[k][1:] != name[k][:-1])))]) for b, k in packets((name % np.uint64(bins)).astype(np.int64))]
+
+
+PRINTS = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
+SHARED = pa.schema([("batch", pa.int64()), ("prints", pa.binary()), ("hot", pa.binary())])
+SUFFIXES = pa.schema([("bin", pa.int32()), ("batch", pa.int64()), ("words", pa.binary()), ("runs", pa.binary()), ("docs", pa.binary())])
 FOUND = pa.schema([("batch", pa.int64()), ("bin", pa.int32()), ("late", pa.binary())])
-DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.binary()): "array<binary>"}
+DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -176,81 +140,79 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def send_anchors(table: pa.Table, window: int, bins: int) -> pa.Table:
-    me, found = table["batch"][0].as_py(), np.unique(Batch(table, window).anchors())
+    me, b = table["batch"][0].as_py(), Words(table, window)
+    found, count = np.unique(b.anchors(b.at), return_counts=True)
     out = {f.name: [] for f in PRINTS}
     for where, k in packets((found % np.uint64(bins)).astype(np.int64)):
-        for name, x in (("bin", where), ("batch", me), ("prints", pack(found[k]))):
+        for name, x in (("bin", where), ("batch", me), ("prints", pack(found[k])), ("counts", pack(count[k].astype(np.int32)))):
             out[name].append(x)
     return pa.table(out, PRINTS)
 
 
-def answer_anchors(table: pa.Table) -> pa.Table:
-    """To each batch those of its anchors that another one has."""
+def answer_anchors(table: pa.Table, hot: int) -> pa.Table:
+    """To each batch those of its anchors that another one has, and of these the ones with more than `hot` suffixes over all."""
     prints = [unpack(x, np.uint64) for x in table["prints"].to_pylist()]
     _, which, senders = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+    twice = senders[which] > 1
+    many = twice & (np.bincount(which, np.concatenate([unpack(x, np.int32) for x in table["counts"].to_pylist()]))[which] > hot)
     out, at = {f.name: [] for f in SHARED}, 0
     for batch, mine in zip(table["batch"].to_pylist(), prints):
-        twice = senders[which[at : at + len(mine)]] > 1
+        t, m = twice[at : at + len(mine)], many[at : at + len(mine)]
         at += len(mine)
-        if twice.any():
-            out["batch"].append(batch)
-            out["prints"].append(pack(mine[twice]))
+        if t.any():
+            for name, x in (("batch", batch), ("prints", pack(mine[t])), ("hot", pack(mine[m]))):
+                out[name].append(x)
     return pa.table(out, SHARED)
 
 
-def _asked(right: pa.Table) -> np.ndarray:
-    found = [unpack(x, np.uint64) for x in right["prints"].to_pylist() if x is not None]
+def _asked(right: pa.Table, column: str) -> np.ndarray:
+    found = [unpack(x, np.uint64) for x in right[column].to_pylist() if x is not None]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def send_suffixes(left: pa.Table, right: pa.Table, small: np.ndarray, window: int, bins: int) -> pa.Table:
+def _upto(sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each of these sizes, on end."""
+    return np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+
+
+def send_suffixes(left: pa.Table, right: pa.Table, window: int, bins: int) -> pa.Table:
+    """A packet for each bin: the words of runs of suffixes, a space behind each, and the number of suffixes and the document of
+    each run."""
     out = {f.name: [] for f in SUFFIXES}
     if left.num_rows and right.num_rows:
         me, b = left["batch"][0].as_py(), Batch(left, window)
-        n_words = int(b.word.max()) + 1 if len(b.word) else 0
-        where = np.zeros(n_words, np.int64)  # of a word's first occurrence
-        where[b.word[::-1]] = np.arange(len(b.word))[::-1]
-        number = np.zeros(n_words, np.int32)
-        for bin_, k in b.sent(_asked(right), small, bins):
-            words = b.word[b.at[b.first[k]][:, None] + np.arange(window)]
-            met = np.zeros(n_words, bool)
-            met[words] = True
-            mine = np.flatnonzero(met)
-            number[mine] = np.arange(len(mine))
-            wide = len(mine) > 1 << 16
-            size = b.e[where[mine]] - b.s[where[mine]]
-            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            bytes_ = gather(b.data, b.s[where[mine]], size).tobytes()
-            for name, x in (
-                ("bin", bin_), ("batch", me), ("wide", wide), ("words", pack(number[words].T.astype(np.uint32 if wide else np.uint16).reshape(-1))), ("docs", pack(b.doc[b.first[k]])),
-                ("dictionary", pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bytes_)])),
-            ):
+        padded = np.append(b.data, np.uint8(SPACE))
+        for bin_, k, begin in b.sent(_asked(right, "prints"), _asked(right, "hot"), bins):
+            at = b.at[b.first[k]]
+            size = np.diff(np.append(np.searchsorted(at, begin), len(at)))  # suffixes of each run
+            word = _upto(size + window - 1, begin)
+            lens = b.e[word] - b.s[word] + 1
+            text = gather(padded, b.s[word], lens)
+            text[np.cumsum(lens) - 1] = SPACE
+            row = np.searchsorted(b.bounds, begin, "right") - 1
+            for name, x in (("bin", bin_), ("batch", me), ("words", text.tobytes()), ("runs", pack(size.astype(np.int32))), ("docs", pack(b.ids[row]))):
                 out[name].append(x)
     tidy()
-    return pa.table([pa.array([], f.type) if not out[f.name] else _lists(out[f.name]) if f.name == "dictionary" else pa.array(out[f.name], f.type) for f in SUFFIXES], schema=SUFFIXES)
-
-
-def _lists(arrays: list[pa.Array]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays])))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(arrays))
+    return pa.table(out, SUFFIXES)
 
 
 def search_subtrees(table: pa.Table, window: int) -> pa.Table:
     """To each batch those of the suffixes it sent, by their place in the packet, whose window starts in a smaller document."""
-    dictionary = pa.concat_arrays([c.flatten() for c in table["dictionary"].chunks])
-    number = dictionary.dictionary_encode().indices.to_numpy().astype(np.int32)
-    sizes = np.concatenate([c.value_lengths().to_numpy() for c in table["dictionary"].chunks])
-    words, docs = [], [unpack(x, np.int64) for x in table["docs"].to_pylist()]
-    for base, raw, wide in zip(np.cumsum(sizes) - sizes, table["words"].to_pylist(), table["wide"].to_pylist()):
-        words.append(number[base + unpack(raw, np.uint32 if wide else np.uint16).reshape(window, -1).T.astype(np.int64)])
-    sender, doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate(docs)
-    tree = Subtrees(np.concatenate(words))
-    del words, dictionary, number
+    data = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8)
+    end = np.flatnonzero(data == SPACE)
+    begin = np.concatenate(([0], end[:-1] + 1))
+    number = byte_classes(data, begin, end - begin, hash_spans(data, begin, end - begin))
+    runs, docs = [unpack(x, np.int32).astype(np.int64) for x in table["runs"].to_pylist()], [unpack(x, np.int64) for x in table["docs"].to_pylist()]
+    first = np.cumsum([0] + [int(x.sum()) for x in runs])
+    runs, docs = np.concatenate(runs), np.concatenate(docs)
+    at = _upto(runs, np.cumsum(runs + window - 1) - (runs + window - 1))  # the suffixes' first words
+    doc = np.repeat(docs, runs)
+    tree = Subtrees(number, at, window)
     node = tree.nodes(window)
     least = np.minimum.reduceat(doc[tree.order], np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))) if len(node) else doc
     late = np.zeros(len(doc), bool)
     late[tree.order] = doc[tree.order] > least[node]
-    out, first = {f.name: [] for f in FOUND}, np.cumsum([0] + [len(x) for x in docs])
+    out = {f.name: [] for f in FOUND}
     for k, (batch, bin_) in enumerate(zip(table["batch"].to_pylist(), table["bin"].to_pylist())):
         mine = np.flatnonzero(late[first[k] : first[k + 1]])
         if len(mine):
@@ -260,12 +222,12 @@ def search_subtrees(table: pa.Table, window: int) -> pa.Table:
     return pa.table(out, FOUND)
 
 
-def remove_words(left: pa.Table, right: pa.Table, small: np.ndarray, window: int, bins: int) -> pa.Table:
+def remove_words(left: pa.Table, right: pa.Table, window: int, bins: int) -> pa.Table:
     b = Batch(left, window)
     least = b.doc[b.first]
     late = {bin_: unpack(x, np.int32) for bin_, x in zip(right["bin"].to_pylist(), right["late"].to_pylist()) if x is not None}
     if late:
-        for bin_, k in b.sent(_asked(right), small, bins):
+        for bin_, k, _ in b.sent(_asked(right, "prints"), _asked(right, "hot"), bins):
             if bin_ in late:
                 least[k[late[bin_]]] = -(1 << 63)  # a smaller document has it elsewhere
     gone = cover(b.at[b.doc > least[b.cls]], window, len(b.s)) if len(b.at) else np.zeros(len(b.s), bool)
@@ -275,19 +237,18 @@ def remove_words(left: pa.Table, right: pa.Table, small: np.ndarray, window: int
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, batch: int = BATCH) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     small_batches(docs.sparkSession)
     rows, n = batches(docs, batch)
     bins = n
-    small = small_groups(prefix_counts(rows, window), bins)
     sent = dealt(rows, n).applyInArrow(lambda t: send_anchors(t, window, bins), _ddl(PRINTS))
-    shared = cut(dealt(sent, bins, "bin").applyInArrow(answer_anchors, _ddl(SHARED)), "anchors")
-    sent = dealt(rows, n).cogroup(dealt(shared, n)).applyInArrow(lambda a, b: send_suffixes(a, b, small, window, bins), _ddl(SUFFIXES))
-    found = cut(dealt(sent, bins, "bin").applyInArrow(lambda t: search_subtrees(t, window), _ddl(FOUND)), "windows")
-    told = shared.select("batch", "prints", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("binary").alias("late"))
-    told = told.unionByName(found.select("batch", F.lit(None).cast("binary").alias("prints"), "bin", "late"))
-    return dealt(rows, n).cogroup(dealt(told, n)).applyInArrow(lambda a, b: remove_words(a, b, small, window, bins), "doc_id long, n_words long, n_removed long, kept string")
+    shared = cut(dealt(sent, bins, "bin").applyInArrow(lambda t: answer_anchors(t, hot), _ddl(SHARED)), "anchors")
+    sent = dealt(rows, n).cogroup(dealt(shared, n)).applyInArrow(lambda a, b: send_suffixes(a, b, window, bins), _ddl(SUFFIXES))
+    found = cut(dealt(sent, bins, "bin").applyInArrow(lambda t: search_subtrees(t, window), _ddl(FOUND)), "suffixes")
+    none = F.lit(None).cast("binary")
+    told = shared.select("batch", "prints", "hot", F.lit(None).cast("int").alias("bin"), none.alias("late")).unionByName(found.select("batch", none.alias("prints"), none.alias("hot"), "bin", "late"))
+    return dealt(rows, n).cogroup(dealt(told, n)).applyInArrow(lambda a, b: remove_words(a, b, window, bins), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def join_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> pa.Array:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, STEP, _VALUES, _upto, batches, by_id, byte_classes, cut, dealt, flat, gather, hash_spans, mix, pack, packets, small_batches, span_hashes, steps, tidy, unpack
+from .common import NO_ID, STEP, _VALUES, _upto, batches, by_id, byte_classes, cut, dealt, flat, gather, hash_spans, mix, pack, packets, refine, small_batches, span_hashes, steps, tidy, unpack
 
 LENGTH = 100
 ANCHOR = 32
@@ -99,7 +99,7 @@ class RunIndex:
             if not len(tied):
                 break
             after = tied + depth  # only what is not told apart yet is sorted again
-            tied = _refine(rank, tied, np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0))
+            tied = refine(rank, tied, np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0))
             depth *= 2
         sa = np.empty(n, np.int64)
         sa[rank] = np.arange(n)
@@ -127,11 +127,11 @@ class RunIndex:
             key = (key << BITS) | np.where(live, symbol, 0)
             live &= symbol > 0
         rank, every = np.zeros(n, np.int64), np.arange(n)
-        tied = _refine(rank, every, key)
+        tied = refine(rank, every, key)
         near = tied[~live[tied]]
         which = np.zeros(n, np.int64)
         which[near] = 1 + np.searchsorted(ends, near)
-        return rank, _refine(rank, tied, which[tied])
+        return rank, refine(rank, tied, which[tied])
 
     def shared(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """How many symbols the texts at a and b have in common, up to a separator; right up to `most`."""
@@ -198,31 +198,6 @@ class RunIndex:
             yield who, at, match
 
 
-def _refine(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Tells those of `tied` that share a rank apart by their keys. A rank is the number of smaller ones, so those of other ranks
-    keep theirs. Returns who still shares one."""
-    if not len(tied):
-        return tied
-    was = rank[tied]
-    wide = int(key.max()) + 1
-    if int(was.max()) * wide + wide < 1 << 62:
-        both = was * wide + key
-        order = np.argsort(both)
-        both = both[order]
-        new_key = np.concatenate(([True], both[1:] != both[:-1]))
-        old = was[order]
-    else:
-        order = np.lexsort((key, was))
-        old, k = was[order], key[order]
-        new_key = np.concatenate(([True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])))
-    new_rank = np.concatenate(([True], old[1:] != old[:-1]))
-    at = np.arange(len(order))
-    begin = np.maximum.accumulate(np.where(new_key, at, 0))
-    rank[tied[order]] = old + begin - np.maximum.accumulate(np.where(new_rank, at, 0))
-    alone = new_key & np.append(new_key[1:], True)
-    return tied[order[~alone]]
-
-
 def first_places(cls: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, sorted_: bool = False) -> np.ndarray:
     """True for those of a class that none is earlier than: in its least doc_id, the first of each row. sorted_: they are in
     order of their places."""

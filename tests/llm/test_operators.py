@@ -74,53 +74,53 @@ def test_substring_repeated_rows_and_null_ids(spark):
     assert got == [(2, 0), (5, 20), (5, 20), (None, 20)]
 
 
-def locally(docs, window, cut_at, bins, n_batches):
+def locally(docs, window, bins, n_batches, hot):
     """The operator's steps on plain tables."""
     made = [pa.table({"doc_id": [d[0] for d in x], "text": [d[1] or "" for d in x], "batch": [k] * len(x)}) for k in range(n_batches) if (x := docs[k::n_batches])]
     group = lambda tables, key: {v: pa.concat_tables(tables).filter(pc.equal(pc.field(key), v)) for v in pc.unique(pa.concat_tables(tables)[key]).to_pylist()}
-    small = np.zeros((len(substring.levels(window)), 1 << substring.BUCKET_BITS), bool)
-    small[cut_at:] = True
     anchors = group([substring.send_anchors(t, window, bins) for t in made], "bin")
-    shared = group([substring.answer_anchors(t) for t in anchors.values()] + [substring.SHARED.empty_table()], "batch")
+    shared = group([substring.answer_anchors(t, hot) for t in anchors.values()] + [substring.SHARED.empty_table()], "batch")
     of = lambda k: shared.get(k, substring.SHARED.empty_table())
-    sent = group([substring.send_suffixes(t, of(k), small, window, bins) for k, t in enumerate(made)], "bin")
+    sent = group([substring.send_suffixes(t, of(k), window, bins) for k, t in enumerate(made)], "bin")
     found = pa.concat_tables([substring.search_subtrees(t, window) for t in sent.values()] + [substring.FOUND.empty_table()])
     out = []
     for k, t in enumerate(made):
         told = pa.concat_tables([of(k), found.filter(pc.equal(pc.field("batch"), k))], promote_options="default")
-        out += [(r["doc_id"], r["n_words"], r["n_removed"], brute.sha(r["kept"])) for r in substring.remove_words(t, told, small, window, bins).to_pylist()]
+        out += [(r["doc_id"], r["n_words"], r["n_removed"], brute.sha(r["kept"])) for r in substring.remove_words(t, told, window, bins).to_pylist()]
     return sorted(out), len(sent)
 
 
-@pytest.mark.parametrize("cut_at", range(5))
+@pytest.mark.parametrize("hot", [0, 3, substring.HOT])
 @pytest.mark.parametrize("bits", [2, 64])
-def test_substring_at_every_prefix_length_and_with_colliding_hashes(docs, monkeypatch, cut_at, bits):
-    """Groups by prefixes of each length; with hashes of two bits nearly all strings collide, and bytes decide."""
-    mask, top = np.uint64((1 << min(bits, 63)) - 1 if bits < 64 else (1 << 64) - 1), 64 - bits
+@pytest.mark.parametrize("gram", [1, 4, 8])
+def test_substring_at_several_prefix_lengths_and_with_colliding_hashes(docs, monkeypatch, hot, bits, gram):
+    """Groups named by strings of several lengths; with hashes of two bits nearly all strings collide, and bytes decide."""
+    mask, top = np.uint64((1 << bits) - 1 if bits < 64 else (1 << 64) - 1), 64 - bits
     plain_spans, plain_grams = common.span_hashes, common.gram_hashes
+    monkeypatch.setattr(substring, "GRAM", gram)
     monkeypatch.setattr(common, "span_hashes", lambda *a: (plain_spans(*a) & mask) << np.uint64(top) if top else plain_spans(*a))
     monkeypatch.setattr(substring, "gram_hashes", lambda *a: plain_grams(*a) & mask if top else plain_grams(*a))
-    got, met = locally(docs, 13, cut_at, 7, 4)
+    got, met = locally(docs, 13, 7, 4, hot)
     assert got == brute.op1(docs) and (met > 1 or bits == 2)
 
 
-def test_prefixes_split_whatever_is_large():
-    """Every prefix too large for a group: suffixes still go to all of many bins."""
-    h = common.mix(np.arange(400_000, dtype=np.uint64))
-    at = np.arange(len(h) - 13)
-    none = np.zeros((len(substring.levels(13)), 1 << substring.BUCKET_BITS), bool)
-    assert len(np.unique(substring.bins_of(h, at, none, 13, 20_000))) == 20_000
-    counts = np.ones(none.shape, np.int64)
-    counts[0, 7] = 10**6
-    small = substring.small_groups(counts, 6)
-    assert not small[0, 7] and small[1].all()
+def test_hot_groups_split_without_end():
+    """One anchor for all suffixes: split by their whole prefixes they go to all of many bins."""
+    r = random.Random(10)
+    passages = [" ".join(f"p{j}-{k}" for k in range(8)) for j in range(5)]
+    text = " ".join(f"{r.random()} {r.random()} {passages[j % 5]} {r.random()} {r.random()} {r.random()}" for j in range(10_000))
+    b = substring.Batch(pa.table({"doc_id": [1], "text": [text]}), 13)
+    anchors = b.anchors(b.at[b.first])
+    name, count = np.unique(anchors, return_counts=True)
+    hot = name[count > 500]
+    assert len(hot) and len(b.sent(hot, hot[:0], 5000)) <= len(hot) and len(b.sent(hot, hot, 5000)) > 1000
 
 
 def test_subtrees_against_plain():
     r = random.Random(9)
-    words = np.array([[r.randrange(3) for _ in range(6)] for _ in range(300)], np.int32)
-    tree = substring.Subtrees(words)
-    rows_ = [tuple(x) for x in words[tree.order].tolist()]
+    number, at = np.array([r.randrange(3) for _ in range(400)]), np.arange(395)
+    tree = substring.Subtrees(number, at, 6)
+    rows_ = [tuple(number[k : k + 6].tolist()) for k in at[tree.order]]
     assert rows_ == sorted(rows_)
     for depth in range(1, 7):
         assert len(np.unique(tree.nodes(depth))) == len({x[:depth] for x in rows_})
