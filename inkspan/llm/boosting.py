@@ -93,10 +93,11 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth:
     return Model(tuple(names), base, tuple(trees))
 
 
-def threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which on at least this share of the rows is positive; infinite if there is none."""
+def threshold(score: np.ndarray, y: np.ndarray, precision: float, prior: int = 0) -> float:
+    """The least score from which on at least this share of the rows is positive, with `prior` positives and as many negatives
+    added to them, so that few rows prove little; infinite if there is none."""
     order = np.argsort(-score, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.append(score[order][1:] != score[order][:-1], True)  # equal scores go together
+    share = (np.cumsum(y[order]) + prior) / (np.arange(1, len(y) + 1) + 2 * prior)
+    last = np.append(score[order][1:] != score[order][:-1], True) if len(y) else np.zeros(0, bool)  # equal scores go together
     good = np.flatnonzero((share >= precision) & last)
     return float(score[order][good[-1]]) if len(good) else float("inf")

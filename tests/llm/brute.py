@@ -150,11 +150,11 @@ def op9(t):
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
-def op4(t):
-    t, found = t or "", {}
+def pii_spans(t):
+    """kind:start:end of the base spans, by kind, then start."""
+    found = []
     for kind, p in PII.items():
-        found[kind] = []
-        for x in re.finditer(p, t):
+        for x in re.finditer(p, t or ""):
             d = [int(c) for c in x[0] if c in "0123456789"]
             ok = {
                 "email": True,
@@ -163,5 +163,10 @@ def op4(t):
                 "phone": 8 <= len(d) <= 15,
             }[kind]
             if ok:
-                found[kind].append(f"{kind}:{x.start()}:{x.end()}")
-    return (*[len(v) for v in found.values()], sha(",".join(s for v in found.values() for s in v)))
+                found.append(f"{kind}:{x.start()}:{x.end()}")
+    return found
+
+
+def op4(t):
+    found = pii_spans(t)
+    return (*[sum(s.startswith(k + ":") for s in found) for k in PII], sha(",".join(found)))
