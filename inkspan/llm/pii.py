@@ -223,7 +223,7 @@ def seeds(spark: SparkSession, each: int = 20) -> DataFrame:
             f"9{digits(2)}.3{digits(2)}.{octet()}.{octet()}", f"commit {hexed(40)}", f"{name()} {mixed(20)} {name()}", f"id {hexed(32)} {name()}", f"no {digits(7)}", f"{name()}_{mixed(16)}_{name()}", f"pages {digits(3)}-{digits(3)}, {digits(4)}",
         ]
         made += [(t, 1.0) for t in yes] + [(t, 0.0) for t in no]
-    return spark.createDataFrame(made, "text string, label double")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(y).alias("label")) for t, y in made])))
 
 
 def labelled(docs: DataFrame, sample: int = SAMPLE, limit: int = CANDIDATES) -> DataFrame:
