@@ -252,10 +252,29 @@ def test_mixing(spark, df, empty):
     con.register("documents", documents)
     want = sorted(con.execute(mixing.TAKEN_SQL).fetchall())
     assert rows(mixing.taken(df), "doc_id", "size", "source_size", "target", "taken") == want
-    assert mixing.mix(df).columns == df.columns
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    n = {r["doc_id"]: r["n_copies"] for r in mixing.copies(df).collect()}
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(i for i, k in n.items() for _ in range(k))
     assert mixing.taken(empty).count() == 0
 
 
+def test_mixing_repeated_rows_and_null_ids(spark):
+    r = random.Random(11)
+    docs = [(r.choice((None, 1, 2, *range(40))), " ".join("w" * r.randint(0, 60)), r.choice((None, "a", "b"))) for _ in range(80)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", d.toPandas().astype({"doc_id": "Int64"}))
+    key = lambda t: (t[0] is None, *t)
+    assert sorted((tuple(x) for x in mixing.taken(d).collect()), key=key) == sorted(con.execute(mixing.TAKEN_SQL).fetchall(), key=key)
+
+
+@pytest.mark.parametrize("sf,near", [("sf0.001", 0.15), ("sf0.01", 0.01)])  # ten and fifty documents in a source
+def test_mixing_comes_near_its_targets(spark, sf, near):
+    got = mixing.copies(queries.table(spark, f"/root/testdata/{sf}", "documents")).groupBy("source").agg(F.sum(F.col("n_copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= near * r["target"] for r in got), got
+
+
 def test_mixing_targets(spark):
     s = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1000), (None, 50)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
@@ -366,12 +385,13 @@ def test_token_output(df, docs, tokenizer, empty, spark):
     from tokenizers import Tokenizer
 
     t, at, want = Tokenizer.from_file(tokenizer), 0, []
-    t.encode_special_tokens = True
-    for i, text in docs + [(10**6, "a<|endoftext|>b 　 c\n\n d\n e  f\n\tg it's we'll")]:
+    docs = docs + [(10**6, "a<|endoftext|>b 　 c\n\n d\n e  f\n\tg it's we'll"), (10**6 + 1, "<|endoftext|> <|endoftext|>\n<|endoftext|>x\n <|endoftext|>\n\ny<|endo ftext|>")]
+    for i, text in docs:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    mine = frame(spark, docs + [(10**6, "a<|endoftext|>b 　 c\n\n d\n e  f\n\tg it's we'll")])
+    assert 50256 in t.encode("a<|endoftext|>b", add_special_tokens=False).ids  # a plain call knows the special token
+    mine = frame(spark, docs)
     assert rows(token_output.token_output(mine, tokenizer), "doc_id", "start", "n_tokens", "ids_crc32") == want
     assert token_output.token_output(empty, tokenizer).count() == 0
 
