@@ -34,11 +34,12 @@ KEPT = 3_000_000
 class Encoder:
     """The tokenizer over numpy: texts are cut where its own splitting must cut too, and each piece is encoded once.
 
+    Special tokens in a text are taken for what they are, as a plain call does, unless literal_specials says otherwise.
     A cut before a space that a character other than white space follows is always a border of the byte-level
     splitting, and so is one behind a line feed between two ASCII characters that are no white space.
     """
 
-    def __init__(self, path: str, literal_specials: bool = True):
+    def __init__(self, path: str, literal_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,7 +47,7 @@ class Encoder:
         self.t.encode_special_tokens = literal_specials
         self.kind = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, self.kind)
-        self.whole = not self._byte_level()
+        self.whole = not self._byte_level() or not self._bound_tokens()
 
     def _byte_level(self) -> bool:
         import json
@@ -54,6 +55,11 @@ class Encoder:
         j = json.loads(self.t.to_str())
         return j["normalizer"] is None and (j["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not j["pre_tokenizer"]["add_prefix_space"]
 
+    def _bound_tokens(self) -> bool:
+        """Whether no special or added token can reach over a cut."""
+        added = self.t.get_added_tokens_decoder().values()
+        return not any(x.lstrip or x.rstrip or x.single_word or any(c.isspace() for c in x.content) for x in added)
+
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) > KEPT:
             self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, self.kind)
@@ -117,7 +123,7 @@ def _ranges(begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, literal_specials: bool = True) -> Encoder:
+def encoder(path: str, literal_specials: bool = False) -> Encoder:
     """One for each Python worker, with what it has learnt so far."""
     if (path, literal_specials) not in _encoders:
         _encoders[path, literal_specials] = Encoder(path, literal_specials)
@@ -130,7 +136,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else "file://" + path)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, literal_specials: bool = True) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, literal_specials: bool = False) -> DataFrame:
     """Writes documents to path in the file format above. Returns a row for each shard: shard, first_id, n_docs,
     n_ids, base. docs: doc_id, text."""
     small_batches(docs.sparkSession)
