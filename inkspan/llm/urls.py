@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import cut, small
+from .quality import let
 
 #: verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Labelled URLs that the trees see at most.
 TRAIN = 20_000
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/?#&=%:"
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,14 +49,27 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def entropy(text: Column) -> Column:
+    """Bits a character, over all of the text's characters: they are sorted, and each run of one adds its count once."""
+
+    def bits(s: Column) -> Column:
+        n = F.size(s)
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = (i == n) | F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True))
+            run = acc["run"] + 1
+            return F.struct(F.when(ends, F.lit(0)).otherwise(run).alias("run"), (acc["sum"] + F.when(ends, run * F.log2(run.cast("double"))).otherwise(0.0)).alias("sum"))
+
+        whole = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0).alias("run"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
+        return F.when(n > 0, F.round(F.log2(n.cast("double")) - whole / n, 6)).otherwise(0.0)
+
+    return let(F.array_sort(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), bits)
+
+
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     low = F.translate(url, AZ, az)
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     count = lambda x, c: F.length(x) - F.length(F.translate(x, c, ""))
-    entropy = F.lit(0.0)
-    for c in ALPHABET:
-        k = count(low, c).cast("double") / n
-        entropy = entropy - F.when(k > 0, k * F.log2(k)).otherwise(0.0)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     return {
         "length": F.length(url),
@@ -65,8 +78,8 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "depth": count(path, "/"),
         "labels": count(host, "."),
         "digits": count(url, "0123456789") / n,
-        "odd": (F.length(url) - F.length(F.translate(low, az + "0123456789", ""))) / n,
-        "entropy": entropy,
+        "odd": F.length(F.translate(low, az + "0123456789", "")) / n,
+        "entropy": entropy(low),
         "params": F.when(query == "", F.lit(0)).otherwise(count(query, "&") + 1),
         "fragment": F.when(F.instr(url, "#") > 0, 1).otherwise(0),
         "secure": F.when(F.startswith(low, F.lit("https:")), 1).otherwise(0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import brute
 import numpy as np
 import pytest
@@ -118,3 +120,53 @@ def test_url_sample_takes_a_url_once(spark):
     hot = [(f"http://hot{k}.a/", 1.0) for k in range(20) for _ in range(100)]
     got = [r["url"] for r in urls.distinct_sample(labelled(spark, hot + [(f"http://h{k}.b/", 0.0) for k in range(1000)]), 200).collect()]
     assert len(got) == len(set(got)) == 200
+
+
+def plain_features(url: str) -> tuple[str, str, dict]:
+    low = brute.low(url)
+    rest = url.split("://", 1)[1] if "://" in url else None
+    host = brute.low(regex.match(r"[^/?#]*", rest)[0]) if rest is not None else ""
+    path = regex.match(r"[^?#]*", rest)[0][len(host) :] if rest is not None else ""
+    n, counts = max(1, len(url)), [low.count(c) for c in set(low)]
+    query = regex.search(r"\?([^#]*)", url)
+    query = query[1] if query else ""
+    return host, path, {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "labels": host.count("."), "digits": sum(c in "0123456789" for c in url) / n,
+        "odd": sum(c not in "abcdefghijklmnopqrstuvwxyz0123456789" for c in low) / n, "entropy": round(-sum(k / n * math.log2(k / n) for k in counts), 6), "params": query.count("&") + 1 if query else 0,
+        "fragment": int("#" in url), "secure": int(low.startswith("https:")), "hyphens": host.count("-"),
+    }
+
+
+def test_url_verdicts_against_plain(spark):
+    """Hosts, paths, rules, features and the trees' verdicts of all pages, from plain code over the fitted trees."""
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url")
+    odd = ["", "none", "http://é\U0001f600.org/ß?a=1&b#c", "HTTPS://A-B.Example.COM/DE/x.PHP?q", "ftp://x.example.com/de/", "http://net/", "http://net", "x://example.net/en/a/b.html#f?g"]
+    pages = pages.unionByName(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(odd)], "page_id long, url string"))
+    rows = urls.parsed(pages)
+    own = rows.filter("found is not null").withColumn("label", (F.col("found.verdict") == "block").cast("double"))
+    model, rates, prior = urls.train(own)
+    known = {k: {r[k]: r[f"r_{k}"] for r in t.collect()} for k, t in rates.items()}
+    got = {r["page_id"]: r for r in urls.report(pages).collect()}
+    seen = set()
+    for r in pages.collect():
+        host, path, f = plain_features(r["url"] or "")
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        x = {f"f_{k}": v for k, v in f.items()} | {"r_s_top": known["s_top"].get(host.rsplit(".", 1)[-1], prior)}
+        ext = regex.search(r"\.([A-Za-z0-9]{1,8})$", path)
+        x["r_s_extension"] = known["s_extension"].get(ext[1] if ext else "", prior)
+        score = model.score(np.array([[x[n] for n in model.names]]))[0]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if score > 0 else "allow")
+        assert tuple(got[r["page_id"]])[1:] == (host, path, rule, verdict, "rule" if fits else "model"), r["url"]
+        seen.add((rule is None, verdict))
+    assert len(seen) >= 3
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Labelled URLs that neither trees nor suffix rates have seen."""
+    rows = urls.parsed(queries.table(spark, "/root/testdata/sf0.1", "pages").select("url").distinct())
+    own = rows.filter("found is not null").withColumn("label", (F.col("found.verdict") == "block").cast("double")).withColumn("out", F.pmod(F.xxhash64("url"), F.lit(2)) == 0)
+    model, rates, prior = urls.train(own.filter("not out"))
+    got = urls.with_rates(own.filter("out"), rates, prior).select("label", (model.column(F.col) > 0).alias("block")).collect()
+    right = np.mean([r["label"] == r["block"] for r in got])
+    print(len(got), right)
+    assert len(got) > 100 and right >= 0.9
