@@ -8,8 +8,8 @@ suffix statistics used as a feature are counts of all labelled rows, made in one
 The fitted trees become a CASE expression, so that judging stays in the JVM.
 
 Features: lengths of URL, host and path; path depth; host labels; digit and non-letter shares; entropy of the URL's
-characters; number of parameters; a fragment; scheme; share of blocked URLs, smoothed, for the last label of the host
-and for the last segment's extension.
+characters; number of parameters; a fragment; scheme; share of blocked URLs, smoothed, for the host's last label and
+last two, the path's first folder, and the last segment's extension.
 
 Null URL or one without `://`: host and path are empty, no rule fits, and the trees judge it like any other. Repeated
 rows are judged alike. Other columns do not matter. Empty table: empty result. Without labelled rows of both kinds
@@ -88,7 +88,11 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 def suffixes(host: Column, path: Column) -> dict[str, Column]:
-    return {"top": F.regexp_extract(host, r"([^.]*)$", 1), "extension": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)}
+    """The host's last label and last two, the path's first folder, and the extension of its last segment."""
+    return {
+        "top": F.regexp_extract(host, r"([^.]*)$", 1), "domain": F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1),
+        "folder": F.regexp_extract(path, r"^/([^/]*)/", 1), "extension": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1),
+    }
 
 
 def parsed(urls: DataFrame, rules=RULES) -> DataFrame:

@@ -152,7 +152,9 @@ def test_url_verdicts_against_plain(spark):
         host, path, f = plain_features(r["url"] or "")
         fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         x = {f"f_{k}": v for k, v in f.items()} | {"r_s_top": known["s_top"].get(host.rsplit(".", 1)[-1], prior)}
-        ext = regex.search(r"\.([A-Za-z0-9]{1,8})$", path)
+        folder, ext = regex.match(r"/([^/]*)/", path), regex.search(r"\.([A-Za-z0-9]{1,8})$", path)
+        x["r_s_domain"] = known["s_domain"].get(".".join(host.split(".")[-2:]), prior)
+        x["r_s_folder"] = known["s_folder"].get(folder[1] if folder else "", prior)
         x["r_s_extension"] = known["s_extension"].get(ext[1] if ext else "", prior)
         score = model.score(np.array([[x[n] for n in model.names]]))[0]
         rule, verdict = max(fits)[1:] if fits else (None, "block" if score > 0 else "allow")
