@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,50 +134,110 @@ def by_rule(title: Title, ev: Evidence) -> tuple[bool, str | None]:
     return next(((True, who) for scope, key, who in title.rules if key in scopes.get(scope, window)), (False, None))
 
 
-def attribute(title: Title, ev: Evidence, eras: tuple[str, ...], era_of: dict[str, str], books_of: dict[str, set[str]]) -> tuple[str | None, str]:
-    """(person or None, tier). From hard to soft evidence; the first rung that decides wins."""
+@dataclass(frozen=True)
+class Case:
+    """A title at a place, as the rungs see it: who can be meant in its book, and whether the book has narrowed that down."""
+
+    title: Title
+    ev: Evidence
+    eras: tuple[str, ...]
+    era_of: dict[str, str]
+    books_of: dict[str, set[str]]
+
+    def allowed(self, who: str | None) -> bool:
+        return not self.books_of.get(who) or self.ev.book in self.books_of[who]
+
+    @cached_property
+    def shelf(self) -> list[str] | None:
+        """The candidates that a dictionary names for the book; None where it says nothing."""
+        if not (self.title.by_book and self.ev.book):
+            return None
+        named = self.title.by_book.get(self.ev.book, ())
+        return [c for c in named if c in self.title.candidates] or list(named)
+
+    @cached_property
+    def pool(self) -> list[str]:
+        wide = list(self.title.candidates) if self.shelf is None else self.shelf
+        return wide if len(wide) == 1 and self.shelf else [c for c in wide if self.allowed(c)] if self.scoped else wide
+
+    @property
+    def scoped(self) -> bool:
+        return self.ev.book is not None and bool(self.books_of)
+
+    def years(self, who: str | None, back: int = 0) -> int | None:
+        """How many eras after the chapter's a person lived; negative: before it."""
+        if self.era_of.get(who) not in self.eras or self.ev.era not in self.eras:
+            return None
+        return self.eras.index(self.era_of[who]) - self.eras.index(self.ev.era) + back
 
-    def fits(c: str | None) -> bool:
-        return not books_of.get(c) or ev.book in books_of[c]
 
-    rank = lambda name: eras.index(name) if name in eras else None
-    ruled, who = by_rule(title, ev)
+# A rung returns (person or None, tier) where it decides and None where it does not.
+
+
+def _stated(c: Case):
+    """Words next to the title that settle it, also that nobody is meant."""
+    ruled, who = by_rule(c.title, c.ev)
     if ruled and who is None:
         return None, "none"
-    if ruled and who in title.candidates and (ev.book is None or fits(who)):
-        return who, "sentence"
-    pool = list(title.candidates)
-    if title.by_book and ev.book:
-        if ev.book not in title.by_book:
-            return None, "none"
-        named = title.by_book[ev.book]
-        pool = [c for c in named if c in pool] or list(named)
-        if len(pool) == 1:
-            return pool[0], "era"
-    if ev.book is not None and books_of:
-        pool = [c for c in pool if fits(c)]
-        if len(pool) < 2:
-            return (pool[0], "era") if pool else (None, "none")
-    for known, tier in ((ev.owners, "owner"), (ev.related, "related")):
-        if len(here := [c for c in pool if c in known]) == 1:
-            return here[0], tier
-    for counts, need, tier in ((ev.sentence, 1, "sentence"), (ev.paragraph, PARAGRAPH_NEED, "paragraph"), (ev.chapter, CHAPTER_NEED, "chapter")):
-        if (who := ahead(counts, pool, need)) is not None:
-            return who, tier
-    default = title.default if title.default and fits(title.default) else None
-    if ev.era is None:
-        return (default, "guess") if default else (None, "none")
-    if len(same := [c for c in pool if era_of.get(c) == ev.era]) == 1:
-        return same[0], "era"
-    if default is None:
+    return (who, "sentence") if ruled and who in c.title.candidates and (c.ev.book is None or c.allowed(who)) else None
+
+
+def _left_by_book(c: Case):
+    """The book leaves one candidate, or none."""
+    if c.shelf == [] or (c.scoped and not c.pool):
         return None, "none"
-    theirs, here = rank(era_of.get(default)), rank(ev.era)
-    if theirs is None or here is None or 0 <= theirs - here < 2:
-        return default, "guess"
-    if theirs - here >= 2:
+    return (c.pool[0], "era") if len(c.pool) == 1 and (c.shelf or c.scoped) else None
+
+
+def _one_of(known: str, tier: str):
+    """One candidate alone is among the chapter's own or related persons."""
+
+    def rung(c: Case):
+        here = [x for x in c.pool if x in getattr(c.ev, known)]
+        return (here[0], tier) if len(here) == 1 else None
+
+    return rung
+
+
+def _most_named(place: str, need: int):
+    """One candidate is named more often than the others nearby."""
+
+    def rung(c: Case):
+        who = ahead(getattr(c.ev, place), c.pool, need)
+        return (who, place) if who is not None else None
+
+    return rung
+
+
+def _of_the_era(c: Case):
+    """One candidate alone lived in the chapter's era."""
+    same = [x for x in c.pool if c.ev.era is not None and c.era_of.get(x) == c.ev.era]
+    return (same[0], "era") if len(same) == 1 else None
+
+
+def _by_default(c: Case):
+    """The dictionary's default, as far as eras allow: nobody from two eras later or more; a guess where it fits; for somebody
+    from before the chapter's era, whoever lived within three eras of it comes first."""
+    who = c.title.default
+    gap = c.years(who)
+    if not who or not c.allowed(who) or (gap is not None and gap >= 2):
         return None, "none"
-    near = [c for c in pool if (r := rank(era_of.get(c))) is not None and r >= here - 3]
-    return (near[0], "era") if len(near) == 1 else (default, "guess") if near else (default, "era")
+    if gap is None or gap >= 0:
+        return who, "guess"
+    near = [x for x in c.pool if (y := c.years(x, 3)) is not None and y >= 0]
+    return {0: (who, "era"), 1: (near[0] if near else who, "era")}.get(len(near), (who, "guess"))
+
+
+#: From hard evidence to soft; the first rung that decides wins, and the last one always does.
+LADDER = (
+    _stated, _left_by_book, _one_of("owners", "owner"), _one_of("related", "related"), _most_named("sentence", 1), _most_named("paragraph", PARAGRAPH_NEED), _most_named("chapter", CHAPTER_NEED), _of_the_era, _by_default,
+)
+
+
+def attribute(title: Title, ev: Evidence, eras: tuple[str, ...], era_of: dict[str, str], books_of: dict[str, set[str]]) -> tuple[str | None, str]:
+    """(person or None, tier)."""
+    case = Case(title, ev, eras, era_of, books_of)
+    return next(found for rung in LADDER if (found := rung(case)) is not None)
 
 
 def resolve_chapter(sure: list[tuple[int, int, str]], open_: list[tuple[int, int, Title, Evidence]], eras=(), era_of=None, books_of=None) -> list[tuple[str | None, str]]:
@@ -206,24 +267,32 @@ def resolve_chapter(sure: list[tuple[int, int, str]], open_: list[tuple[int, int
     return found
 
 
-def resolve_titles(sents: DataFrame, owner: dict[str, str], titles: list[Title], eras: tuple[str, ...] = (), era_of: dict[str, str] | None = None, books_of: dict[str, set[str]] | None = None) -> DataFrame:
-    """D4 to D6 over all chapters: uid, s, e, surface, id, tier of the titles' spans."""
+def resolve_titles(
+    sents: DataFrame, owner: dict[str, str], titles: list[Title], eras: tuple[str, ...] = (), era_of: dict[str, str] | None = None, books_of: dict[str, set[str]] | None = None, chapters: DataFrame | None = None
+) -> DataFrame:
+    """D4 to D6 over all chapters: uid, s, e, surface, id, tier of the titles' spans. chapters: chapter, owners, related (arrays of
+    persons), era; a row for each chapter of which something is known."""
     by_alias = {t.alias: t for t in titles}
     plain = spans_in(F.col("text"), owner)
     open_ = F.filter(spans_in(F.col("text"), {t.alias: t.alias for t in titles}, "open"), lambda x: ~F.exists(F.col("plain"), lambda y: y["s"] == x["s"]))
     rows = sents.withColumn("plain", plain).withColumn("open", open_).select("chapter", "book", "para_seq", "seq", "uid", F.when(F.size("open") > 0, F.col("text")).alias("text"), F.transform("plain", lambda x: x["id"]).alias("plain"), "open")
     # a chapter without titles needs no grouped work; asked of the text, as a filter on spans would find them again
     busy = sents.filter(F.col("text").rlike(alternation(list(by_alias)))).select("chapter").distinct()
+    if chapters is not None:  # what is known of a chapter goes with the chapters that have titles
+        busy = busy.join(chapters.select("chapter", "owners", "related", "era"), "chapter", "left")
+    else:
+        busy = busy.withColumns({"owners": F.lit(None).cast("array<string>"), "related": F.lit(None).cast("array<string>"), "era": F.lit(None).cast("string")})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["para_seq", "seq"])
         sure, spots, at = [], [], []
+        known = lambda x: set() if x is None else set(x)
         for r in pdf.itertuples():
             sure += [(r.para_seq, r.seq, who) for who in r.plain]
             for x in r.open:
-                spots.append((r.para_seq, r.seq, by_alias[x["surface"]], Evidence(book=r.book, text=r.text, span=(x["s"], x["e"]))))
+                spots.append((r.para_seq, r.seq, by_alias[x["surface"]], Evidence(known(r.owners), known(r.related), era=r.era, book=r.book, text=r.text, span=(x["s"], x["e"]))))
                 at.append((r.uid, x["s"], x["e"], x["surface"]))
         got = resolve_chapter(sure, spots, eras, era_of, books_of)
         return pd.DataFrame([(*a, who, tier) for a, (who, tier) in zip(at, got)], columns=["uid", "s", "e", "surface", "id", "tier"])
 
-    return rows.join(busy, "chapter", "left_semi").groupBy("chapter").applyInPandas(one, "uid string, s int, e int, surface string, id string, tier string")
+    return rows.join(busy, "chapter").groupBy("chapter").applyInPandas(one, "uid string, s int, e int, surface string, id string, tier string")

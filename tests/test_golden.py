@@ -92,6 +92,15 @@ def test_ladder(title, ev, want):
     assert annotate.attribute(t_, annotate.Evidence(**ev), ERAS, ERA_OF, scope) == want
 
 
+def test_ladder_through_spark(spark):
+    """Every tier, over chapters of which owners, related persons and eras are known."""
+    sents = spark.createDataFrame([(k, "b", 1, 1, f"u{k}", t) for k, t in enumerate(["王", "王", "甲王", "王", "王", "王言", "王", "乙之王"])], "chapter long, book string, para_seq int, seq int, uid string, text string")
+    known = spark.createDataFrame([(0, ["a"], [], None), (1, ["a", "b"], ["c"], None), (3, [], [], "秦"), (4, [], [], "夏"), (6, [], [], "漢")], "chapter long, owners array<string>, related array<string>, era string")
+    title = annotate.Title("王", ("a", "b", "c"), default="c", rules=(("post", "言", "b"),))
+    got = {r["uid"]: (r["id"], r["tier"]) for r in annotate.resolve_titles(sents, {"甲": "a", "乙": "b"}, [title], ERAS, ERA_OF, None, known).collect()}
+    assert got == {"u0": ("a", "owner"), "u1": ("c", "related"), "u2": ("a", "sentence"), "u3": ("b", "era"), "u4": (None, "none"), "u5": ("b", "sentence"), "u6": ("c", "guess"), "u7": ("b", "sentence")}
+
+
 def test_feedback_between_titles():
     one_, two = annotate.Title("甲", ("a", "b"), by_book={"x": ("a",)}), annotate.Title("乙", ("a", "b"))
     spots = [(1, 1, one_, annotate.Evidence(book="x")), (1, 1, two, annotate.Evidence(book="x"))]
