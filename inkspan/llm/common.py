@@ -90,6 +90,18 @@ def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], members: str, hot: int = 1000) -> DataFrame:
+    """rows joined to table, which has a row for each key and in `members` how many rows the key has. Keys with more than `hot`
+    rows would each fill a task: these, few as they are, are joined by broadcast (behind the check of its size), and only the
+    others' rows are dealt out by key. table should be one that cut() wrote."""
+    names = [c for c in table.columns if c not in keys]
+    many = small(cut(table.filter(F.col(members) > hot), "hot")).select(*keys, F.struct(*names).alias("__hot"))
+    rows = rows.join(many, keys, "left")
+    mine = rows.filter("__hot is not null").select(*[c for c in rows.columns if c != "__hot"], "__hot.*")
+    rest = rows.filter("__hot is null").drop("__hot").join(table.filter(F.col(members) <= hot), keys)
+    return mine.unionByName(rest)
+
+
 def least_hashes(rows: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """`limit` rows (or all, if there are fewer): of the distinct values of columns those with the least hashes, each value
     once however often it is repeated. A bounded, repeatable sample spread over all values. Their number is estimated

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, mix, parts, rows_of, small_batches, span_hashes, steps, word_spans
+from .common import LOWER, NO_ID, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, joined_by_key, mix, parts, rows_of, small_batches, span_hashes, steps, word_spans
 
 BINS = 96
 BAND = 4
@@ -224,20 +224,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     marks = cut(sketches(rows, shingle), "sketches")
     some = marks.filter("n_shingles > 0")
     # a class's node is its smallest doc_id; hot classes are halved by partial minima before the shuffle
-    classes = cut(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    member = some.select("doc_id", "set_a", "set_b", "n_shingles").join(classes.select("set_a", "set_b", "n_shingles", "node"), ["set_a", "set_b", "n_shingles"])
+    classes = cut(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "classes")
+    member = joined_by_key(some.select("doc_id", "set_a", "set_b", "n_shingles"), classes.select("set_a", "set_b", "n_shingles", "node", "copies"), ["set_a", "set_b", "n_shingles"], "copies").drop("copies")
     # buckets with two nodes or more; counting them first keeps lone rows, nearly all, out of what follows
     bucket = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    centre = bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most")).filter("centre < most").select("bucket", "centre")
-    crowd = cut(bucket.join(centre, "bucket"), "buckets")
+    centre = bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most"), F.count(F.lit(1)).alias("members"))
+    centre = cut(centre.filter("centre < most").select("bucket", "centre", "members"), "centres")
+    crowd = cut(joined_by_key(bucket, centre, ["bucket"], "members").drop("members"), "buckets")
     pairs = crowd.filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     sets = cut(full_sets(rows, crowd.select("node").distinct(), shingle), "sets")
     links = cut(confirm(pairs, sets, percent), "links")
     comp = cut(components(links), "components")
     # what stars can miss: members of a bucket that lie in different components though the centre is set aside
     left = crowd.filter("node > centre").select("bucket", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
-    left = cut(left.join(mixed, "bucket"), "mixed")
+    mixed = cut(left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n"), "mixed")
+    left = cut(joined_by_key(left, mixed, ["bucket"], "n"), "mixed")
     more = cut(_across(left, sets, percent), "links")
     if not more.isEmpty():
         comp = cut(components(links.unionByName(more)), "components")

@@ -59,6 +59,12 @@ def empty(spark):
     return frame(spark, []).limit(0)
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    pytest.importorskip("public_tokenizers")
+    return queries.tokenizer_path()
+
+
 def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda r: (r[0] is None, r))
 
@@ -229,6 +235,32 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert rows(near_dup.near_duplicates(frame(spark, docs), 3, 85), "doc_id", "n_shingles", "component_id") == brute.op7(docs, 3, 85)
 
 
+def test_joined_by_key_is_a_join(spark):
+    rows_ = spark.range(5000).selectExpr("id % 40 * (id % 3) as k", "id as v", "cast(null as string) as s")
+    table = common.cut(rows_.filter("k <> 7").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")), "t")
+    want = sorted(tuple(r) for r in rows_.join(table, "k").select("k", "v", "n", "top").collect())
+    for hot in (0, 100, 10**6):
+        assert sorted(tuple(r) for r in common.joined_by_key(rows_, table, ["k"], "n", hot).select("k", "v", "n", "top").collect()) == want
+
+
+def test_null_ids_and_repeated_rows(spark, tokenizer):
+    """Each row gets its own row back, in the operators whose results do not depend on the others."""
+    t = "one two three four five six seven eight nine ten eleven me@x.org"
+    mine = [(None, t), (None, t), (None, None), (4, t), (4, t), (4, "a b"), (9, ""), (9, "x " * 60000)]
+    d = frame(spark, mine)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = lambda df, *c: sorted((tuple(r) for r in df.select(*c).collect()), key=key)
+    b = spark.createDataFrame([(1, t), (None, "a b"), (1, t)], "item_id long, text string")
+    assert got(decontamination.report(d, b), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.op3(mine, [(1, t), (None, "a b")]), key=key)
+    assert got(pii.report(d), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(((i, *brute.op4(x)) for i, x in mine), key=key)
+    assert got(quality.report(d), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(((i, *brute.op9(x)) for i, x in mine), key=key)
+    assert sorted(r["n_words"] for r in quality.keep_good(d).selectExpr("size(split(text, ' ')) as n_words").collect()) == []
+    n = [r["n_tokens"] for r in token_output.token_output(d, tokenizer).collect()]
+    assert len(n) == len(mine) and n.count(1) == 2
+    again = substring.report(d).count(), suffix_array.report(d).count(), ppm.report(d).count(), near_dup.report(d).count(), mixing.taken(d).count()
+    assert again == (8, 8, 8, 8, 8)
+
+
 def test_near_duplicates_edges(spark, empty):
     assert near_dup.report(empty).count() == 0
     got = rows(near_dup.report(frame(spark, [(4, "a b c d"), (2, "A B C D"), (2, "A B C D"), (None, "a b c d"), (9, None), (8, "")])), "doc_id", "component_id", "kept")
@@ -412,12 +444,6 @@ def test_quality_estimates_against_plain(spark):
         assert not any(verdicts[tuple(map(float, v))] for v in x[400:])
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
-    pytest.importorskip("public_tokenizers")
-    return queries.tokenizer_path()
-
-
 def test_token_output(df, docs, tokenizer, empty, spark):
     from tokenizers import Tokenizer
 
