@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a dictionary that is broadcast at most.
+BROADCAST = 8 << 20
+
 
 def alias_conflicts(entities: DataFrame) -> DataFrame:
     """Aliases with more than one owner."""
@@ -99,10 +102,13 @@ def united_scopes(rows: DataFrame, by: str, lists: str) -> DataFrame:
 
 def titles_with(places: DataFrame, chapters: DataFrame) -> DataFrame:
     """Chapters whose title holds a place's alias: a title's substrings of the lengths that aliases have meet them by
-    equality, each once."""
+    equality, each once. The substrings are many times what the planner takes the titles for, so they are never the side
+    that is broadcast: the aliases are, if they are measured to be few, else both sides are sorted and merged."""
     rows = places.select("id", F.explode("aliases").alias("alias")).filter("alias <> ''").distinct()
-    parts = _parts_of(F.col("title"), _lengths(rows, "alias"), None)
-    return chapters.withColumn("alias", F.explode(parts)).join(rows, "alias")
+    found = rows.groupBy(F.length("alias").alias("n")).agg(F.sum(F.octet_length("alias") + F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)) + 64).alias("size")).collect()
+    parts = _parts_of(F.col("title"), sorted(r["n"] for r in found), None)
+    few = sum(r["size"] for r in found) <= BROADCAST
+    return chapters.withColumn("alias", F.explode(parts)).join(rows.hint("broadcast" if few else "merge"), "alias")
 
 
 def _lengths(rows: DataFrame, column: str) -> list[int]:

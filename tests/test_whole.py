@@ -6,7 +6,7 @@ import random
 import re
 from collections import deque
 
-from inkspan.operators import extract, graph
+from inkspan.operators import audit, extract, graph
 from inkspan.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -100,3 +100,18 @@ def test_notes_go_at_any_depth(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], ["s"]).select(extract.without_notes(F.col("s"))).collect()]
     assert got == [plain(t) for t in texts] and got[0] == "ac"
     assert spark.createDataFrame([(None,)], "s string").select(extract.without_notes(F.col("s"))).first()[0] is None
+
+
+def test_titles_are_not_broadcast(spark, tmp_path, monkeypatch):
+    names = ["AUTO", "GREEN AU", "", None, "GREE", "AUAU"] * 5
+    d = landed(spark, tmp_path, chapters=(list(enumerate(names)), "k long, title string"))
+    chapters = spark.read.parquet(f"{d}/chapters.parquet")
+    places = spark.createDataFrame([("l1", ["GREEN", "GREEN"]), ("l2", ["AU", "", None]), ("l3", ["UA", "AU"]), (None, ["TO"])], "id string, aliases array<string>")
+    pairs = {(i, a) for i, aliases in (("l1", ["GREEN"]), ("l2", ["AU"]), ("l3", ["UA", "AU"]), (None, ["TO"])) for a in aliases}
+    want = sorted((k, str(i), a) for k, t in enumerate(names) for i, a in pairs if t and a in t)
+    for limit, join in ((audit.BROADCAST, "BuildRight"), (0, "SortMergeJoin")):  # few aliases, then too many to be broadcast
+        monkeypatch.setattr(audit, "BROADCAST", limit)
+        found = audit.titles_with(places, chapters)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "BuildLeft" not in plan
+        assert sorted((r["k"], str(r["id"]), r["alias"]) for r in found.collect()) == want
