@@ -47,9 +47,15 @@ def to_fetch(wanted: DataFrame, landed: DataFrame, least: int = 500) -> DataFram
     return wanted.join(landed.filter(F.col("size") > least).select("name"), "name", "left_anti")
 
 
+def title_tag(html):
+    """A Column: the title as it stands, without the space characters around it (Unicode's Zs, as SQL's trim; no line ends
+    or tabs). No title: empty."""
+    return F.regexp_replace(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1), r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 def page_title(html):
     """A Column: the title without its leading number."""
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1), r"^\s*(?:\d+|[一二三四五六七八九十百]+)[\s.、]+", ""))
+    return F.trim(F.regexp_replace(title_tag(html), r"^\s*(?:\d+|[一二三四五六七八九十百]+)[\s.、]+", ""))
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 import re
 from collections import deque
 
+import duckdb
+import oracle
 from inkspan.operators import audit, extract, graph
 from inkspan.plans import catalogue
 from pyspark.sql import functions as F
@@ -115,3 +117,14 @@ def test_titles_are_not_broadcast(spark, tmp_path, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert join in plan and "BuildLeft" not in plan
         assert sorted((r["k"], str(r["id"]), r["alias"]) for r in found.collect()) == want
+
+
+def test_page_titles_are_those_of_its_sql(spark, tmp_path):
+    titles = ["56.187.231.175 Keit in", "4501042323994846 Anth", "12. a", "一、本紀", "", "  a b ", "\u3000\xa0a\u2003", "\ta\n", "\xa0\n \x85", "\u3000", "a\u200b\ufeff ", " 7 ", "a\r\nb \n", "\U00024cf9 "]
+    pages = [f"<html><TITLE>{t}</Title><title>x</title>" for t in titles] + [None, "", "<title>open", "<title a='b'>c</title>", "</title><title>1. d</title>"]
+    d = landed(spark, tmp_path, pages=(list(enumerate(pages)), "page_id long, html string"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet/*.parquet'")
+    assert oracle.same(spark, con, d, catalogue.queries()["page_titles"], catalogue.oracle_sql()["page_titles"]) == ""
+    got = [r["title"] for r in catalogue.queries()["page_titles"](spark, d).orderBy("page_id").collect()]
+    assert got[:4] == titles[:4] and got[6] == "a" and got[-5:] == [None, "", "", "", "1. d"]
