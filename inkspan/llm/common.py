@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 text that one vectorised step handles at a time; numpy holds about 40 times as much.
@@ -23,6 +23,8 @@ STEP = 2 << 20
 NO_ID = (1 << 63) - 1
 #: Batches of documents at least, so that small inputs are worked on in parallel.
 LEAST = 8
+#: Bits that likely() takes for each id, bits in one of its rows, and bytes that all its rows may have.
+FILTER_BITS, PAGE, FILTER = 16, 1 << 15, 32 << 20
 #: Removes the shuffle files of an execution when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -102,6 +104,25 @@ def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], members: s
     return mine.unionByName(rest)
 
 
+def likely(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """rows whose key (a long) may be among ids, the rows whose key is surely not, and whether the first are sharp: about one
+    in FILTER_BITS of those that are not among ids. A bit for the hash of each id, broadcast, so that rows with long texts
+    are not dealt out by key only to be told apart. Its size follows the number of ids up to FILTER; beyond that nothing is
+    lost, but it is not sharp. ids: one column, which may hold null, and should be a table that cut() wrote."""
+    own = F.col(ids.columns[0]).cast("long")
+    wanted = ids.count() * FILTER_BITS
+    bits = min(max(1, math.ceil(wanted / PAGE)) * PAGE, FILTER * 8)
+
+    def at(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    pages = F.broadcast(cut(ids.groupBy(F.floor(at(own) / PAGE).alias("__page")).agg(F.bitmap_construct_agg(at(own) % PAGE).alias("__bits")), "filter"))
+    place = (at(key) % PAGE).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(at(key) / PAGE) == F.col("__page")) & (F.getbit(byte, place % 8) == 1)
+    return rows.join(pages, hit, "left_semi"), rows.join(pages, hit, "left_anti"), wanted <= bits
+
+
 def least_hashes(rows: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """`limit` rows (or all, if there are fewer): of the distinct values of columns those with the least hashes, each value
     once however often it is repeated. A bounded, repeatable sample spread over all values. Their number is estimated

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, joined_by_key, mix, parts, rows_of, small_batches, span_hashes, steps, word_spans
+from .common import LOWER, NO_ID, NOT_SPACE, cut, gram_hashes, id_text, inner_starts, joined_by_key, likely, mix, parts, rows_of, small_batches, span_hashes, steps, word_spans
 
 BINS = 96
 BAND = 4
@@ -109,7 +109,8 @@ def gram_like(x: np.ndarray) -> np.ndarray:
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (binary: sorted 64-bit hashes) of the documents whose id is in wanted (node)."""
+    """node, shingles (binary: sorted 64-bit hashes) of the documents whose id is in wanted (node), and of a few others,
+    which cost less than dealing out all texts by id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +121,9 @@ def full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(value.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), raw], ["node", "shingles"])
 
-    mine = rows.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    mine, _, sharp = likely(rows, F.col("doc_id"), wanted)
+    if not sharp:
+        mine = mine.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     return mine.mapInArrow(make, "node long, shingles binary")
 
 
@@ -232,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     centre = cut(centre.filter("centre < most").select("bucket", "centre", "members"), "centres")
     crowd = cut(joined_by_key(bucket, centre, ["bucket"], "members").drop("members"), "buckets")
     pairs = crowd.filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    sets = cut(full_sets(rows, crowd.select("node").distinct(), shingle), "sets")
+    sets = cut(full_sets(rows, cut(crowd.select("node").distinct(), "nodes"), shingle), "sets")
     links = cut(confirm(pairs, sets, percent), "links")
     comp = cut(components(links), "components")
     # what stars can miss: members of a bucket that lie in different components though the centre is set aside
@@ -255,6 +258,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with the smallest doc_id of each component (rows that share a doc_id stay together)."""
-    gone = near_duplicates(docs, shingle, percent).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs, all columns, with the smallest doc_id of each component (rows that share a doc_id stay together). Only rows that
+    may go meet the ids that go; the others are passed on where they are."""
+    gone = cut(near_duplicates(docs, shingle, percent).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    key = F.col("doc_id").cast("long")
+    some, stay, _ = likely(docs, key, gone)
+    return stay.union(some.join(gone, key.eqNullSafe(F.col("__gone")), "left_anti"))

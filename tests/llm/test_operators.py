@@ -243,6 +243,50 @@ def test_joined_by_key_is_a_join(spark):
         assert sorted(tuple(r) for r in common.joined_by_key(rows_, table, ["k"], "n", hot).select("k", "v", "n", "top").collect()) == want
 
 
+def test_likely_loses_no_row(spark, monkeypatch):
+    deal = random.Random(3)
+    ids = [deal.randrange(-(1 << 63), 1 << 63) for _ in range(5000)] + [None, 0, -1]
+    others = [deal.randrange(-(1 << 63), 1 << 63) for _ in range(5000)]
+    rows = spark.createDataFrame([(k, "x") for k in ids + others] + [(0, "again")], "k long, t string")
+    for size, sharp in ((common.FILTER, True), (1 << 12, False)):  # the second has no room for so many
+        monkeypatch.setattr(common, "FILTER", size)
+        some, rest, is_sharp = common.likely(rows, F.col("k"), spark.createDataFrame([(k,) for k in ids], "id long"))
+        some, rest = [tuple(r) for r in some.collect()], [tuple(r) for r in rest.collect()]
+        assert is_sharp == sharp and sorted(map(str, some + rest)) == sorted(str(tuple(r)) for r in rows.collect())
+        assert not {k for k, _ in rest} & set(ids)
+        assert not sharp or len(rest) > 0.9 * len(others)
+    some, rest, _ = common.likely(rows, F.col("k"), spark.createDataFrame([], "id long"))
+    assert some.count() == 0 and rest.count() == rows.count()
+
+
+@pytest.mark.parametrize("sharp", (True, False))
+def test_near_dedup_does_not_deal_out_all_texts(spark, monkeypatch, sharp):
+    deal = random.Random(5)
+    texts = [" ".join(f"{deal.randrange(1 << 60):x}" for _ in range(300)) for _ in range(400)]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " end") for k in range(20)] + [(2000, texts[0]), (None, texts[1]), (None, "alone"), (3000, None)]
+    if not sharp:
+        monkeypatch.setattr(common, "FILTER", 1)
+    d = common.cut(frame(spark, docs), "docs")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables of ids were large
+    try:
+        before = shuffled(spark)
+        got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in near_dup.keep_one(d, 5, 80).collect() if r["doc_id"] is not None)
+        moved = shuffled(spark) - before
+        nulls = near_dup.keep_one(d, 5, 80).filter("doc_id is null").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == sorted((False, k, t) for k, t in docs if k is not None and (k < 1000 or k == 3000)) and nulls == 0
+    assert not sharp or moved < 0.8 * sum(len(t or "") for _, t in docs)
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
 def test_null_ids_and_repeated_rows(spark, tokenizer):
     """Each row gets its own row back, in the operators whose results do not depend on the others."""
     t = "one two three four five six seven eight nine ten eleven me@x.org"
